@@ -1,12 +1,55 @@
-"""Cleaning a corpus in stages: language, near duplicates, benchmark leaks, secrets, tokens."""
+"""Cleaning a corpus in stages: language, near duplicates, benchmark leaks, secrets, tokens.
+
+Each stage takes documents and returns documents, but the last returns a row of token figures for each. run() applies
+them one after another, storing what each kept in the cluster's shared folder.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinweave.llm import bpe, decontaminate, langid, secrets, simhash
+from kinweave.llm.common import new_folder, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is told; those without letters and those far from every language go."""
+    own = docs.columns
+    named = langid.identify(docs.select(*own, F.col("text").alias("__kw_text")), langid.fit(docs), "__kw_text")
+    return named.where(~F.col("rejected")).select(*own)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no passage of the benchmark."""
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("passages") == 0).drop("passages")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the bytes they decode to."""
+    coded = bpe.encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("simhash_near_dedup", near_duplicates), ("decontamination", benchmark_leaks), ("secret_scan", secret_scan), ("byte_bpe", tokens)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark, "pipeline")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
