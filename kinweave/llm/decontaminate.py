@@ -5,9 +5,9 @@ with a pointer that stays or moves on by a random bit of the word it reads, and
 distance of the words read. Windows of a passage start at each of its words; windows of a document start at every
 STRIDE-th word, so a copied passage holds several of them, each met by the passage's window of the same offset. LSH
 tables sample few steps of several walks; windows that agree in a table and in MIN_AGREE steps of its walk give a
-passage and an offset, and the place there, as long as the passage and its allowed edits, is verified by exact
-semi-global edit distance. A window with fewer than MIN_KNOWN passage words isn't walked: at the tolerance, a copied
-passage has others.
+passage and an offset. The place there, as long as the passage and its allowed edits, must hold enough of the
+passage's words, and is then verified by exact semi-global edit distance. A window where fewer than MIN_KNOWN of
+WINDOW words are known from any passage isn't walked: a copy within the tolerance has windows of its average density.
 
 Passages are read in blocks of bounded size, each broadcast once; a benchmark of any size is so many blocks.
 
@@ -34,10 +34,12 @@ from kinweave.llm.common import prepare, text_or_empty
 
 #: Edits allowed for each word of a passage.
 TOLERANCE = 0.2
-WALKS, SAMPLES, SAMPLED, STEPS = 4, 3, 4, 16
-STRIDE, SHORT, MIN_KNOWN, MIN_AGREE = 4, 12, 5, 7
+WALKS, SAMPLES, SAMPLED, STEPS = 4, 4, 6, 24
+STRIDE, SHORT, WINDOW, MIN_KNOWN, MIN_AGREE = 4, 12, 12, 8, 10
+#: Proposed places whose words are counted at once.
+COUNTED = 20_000
 #: Characters of passages in a block.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 600_000
 SEED = 42
 WORD = re.compile(r"\w+")
 
@@ -75,6 +77,7 @@ class Index:
     item_of: np.ndarray
     offset: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    member: np.ndarray | None = None
 
     def walk(self, ids: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
         """The words read in each step, a row for each step."""
@@ -184,7 +187,7 @@ def match(index: Index, texts: list[str], tolerance: float = TOLERANCE) -> list[
     within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     first = at = within + np.repeat(starts, lengths)
     known = np.concatenate(([0], np.cumsum(flat > 1)))
-    in_window = known[np.minimum(at + 8, len(flat))] - known[at]
+    in_window = known[np.minimum(at + WINDOW, len(flat))] - known[at]
     use = (in_window >= MIN_KNOWN) & (within % STRIDE == 0)
     at = at[use]
     places, passages = _near(index, flat, at) if len(at) else (at, at)
@@ -200,12 +203,18 @@ def match(index: Index, texts: list[str], tolerance: float = TOLERANCE) -> list[
             passages = np.concatenate((passages, of[which]))
     if not len(places):
         return out
+    lengths_of = np.array([len(x) for _, x in index.items])
+    edits_of = np.floor(tolerance * lengths_of).astype(np.int64)
     # a place before its text's first word lies in the gap before it, or in the text before: try both texts
-    doc = np.searchsorted(starts, places, "right") - 1
+    doc, ahead = (np.searchsorted(starts, x, "right") - 1 for x in (places, places + np.maximum(1, edits_of[passages])))
+    other = ahead != doc
+    seen = np.stack((np.append(doc, ahead[other]), np.append(passages, passages[other]), np.append(places, places[other])), axis=1)
+    seen = seen[seen[:, 0] >= 0]
+    order = np.lexsort((seen[:, 2], seen[:, 1], seen[:, 0]))
+    seen = seen[order]
+    seen = seen[np.append(True, (seen[1:] != seen[:-1]).any(axis=1))] if len(seen) else seen
+    seen = seen[_enough(index, flat, starts, lengths, seen, lengths_of, edits_of)]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    lead = np.array([max(1, math.floor(tolerance * len(x))) for _, x in index.items])
-    ahead = np.searchsorted(starts, places + lead[passages], "right") - 1
-    seen = np.unique(np.concatenate((np.stack((doc, passages, places)), np.stack((ahead, passages, places))), axis=1), axis=1).T
     covered: dict[tuple[int, int], int] = {}
     for d, p, place in seen.tolist():
         if d < 0:
@@ -224,8 +233,6 @@ def match(index: Index, texts: list[str], tolerance: float = TOLERANCE) -> list[
         if high - low < n - edits:
             continue
         region = flat[low:high]
-        if np.isin(pattern, region).sum() < n - edits:
-            continue
         far, a, b = nearest(pattern, region)
         found = (far, low - begin + a, low - begin + b)
         if far <= edits and (old is None or found < old):
@@ -235,6 +242,26 @@ def match(index: Index, texts: list[str], tolerance: float = TOLERANCE) -> list[
     return out
 
 
+def _enough(index: Index, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seen: np.ndarray, lengths_of: np.ndarray, edits_of: np.ndarray) -> np.ndarray:
+    """Whether the region about each (text, passage, place) holds as many words of the passage as a match needs."""
+    if index.member is None:
+        member = np.zeros((len(index.items), len(index.vocabulary) + 2), bool)
+        for p, (_, words) in enumerate(index.items):
+            member[p, words] = True
+        index.member = member
+    out = np.zeros(len(seen), bool)
+    for at in range(0, len(seen), COUNTED):
+        d, p, place = seen[at : at + COUNTED].T
+        n, e = lengths_of[p], edits_of[p]
+        low, high = np.maximum(starts[d], place - 2 * e), np.minimum(starts[d] + lengths[d], place + n + 2 * e)
+        size = np.maximum(high - low, 0)
+        first = np.cumsum(size) - size
+        rows = np.repeat(np.arange(len(p)), size)
+        hit = np.concatenate(([0], np.cumsum(index.member[p[rows], flat[np.repeat(low - first, size) + np.arange(size.sum())]])))
+        out[at : at + COUNTED] = hit[first + size] - hit[first] >= n - e
+    return out
+
+
 MATCHES = "array<struct<item_id:long,start_word:int,end_word:int,distance:int,n_words:int>>"
 
 
