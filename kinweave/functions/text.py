@@ -152,3 +152,19 @@ def retrieval_text(core: Column, address: Column, include_address: bool) -> Colu
 def embedding_text(role: str, name: Column, address: Column) -> Column:
     """`query: ` or `passage: ` with the name and, if there is one, the address."""
     return F.concat(F.lit(f"{role}: "), name, F.when(address == "", "").otherwise(F.concat(F.lit(" | "), address)))
+
+
+def profile_script(c: Column) -> Column:
+    """For profiles: which of Latin, Indic and other letters a text has."""
+    latin, indic = c.rlike(r"[A-Za-z\u00C0-\u024F]"), c.rlike(r"[\u0900-\u0D7F]")
+    return F.when(latin & indic, "mixed").when(indic, "indic").when(latin, "latin").when(c == "", "empty").otherwise("other")
+
+
+def profile_suffix(c: Column) -> Column:
+    """For profiles: the last word in lower case without punctuation."""
+    return F.regexp_extract(F.lower(c), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)
+
+
+def mild(c: Column) -> Column:
+    """For leak probes: lower case, single spaces, nothing else."""
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))

@@ -6,6 +6,10 @@ one without any score has an empty set.
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, dataclass, field
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +131,51 @@ def open_set_grid(scores: DataFrame, refs: DataFrame, truth: DataFrame, boosts=(
     kept = spread.where(_kept(F.col("prob"), F.col("peak"), F.lit(tau_match), F.lit(tau_s), F.lit(margin), F.lit(True), F.col("boost"), F.col("veto")))
     one = scores.sparkSession.range(1).drop("id")
     return _macro_over(["boost", "veto"], over_grid(over_grid(one, "boost", boosts), "veto", vetoes), refs, truth, kept)
+
+
+def tune_expected(scores: DataFrame, refs: DataFrame, truth: DataFrame, s: Settings = DEFAULTS) -> tuple[float, dict[str, float], float]:
+    """(tau_floor, recall_hat of each bucket, recall_hat for all): first the best pair for all references, then for each
+    bucket without open references the recall_hat that suits it best, smaller values first on ties.
+    """
+    def first(rows: list, *keys: str):
+        return max(sorted(rows, key=lambda r: tuple(r[k] for k in keys)), key=lambda r: round(r["macro_f05"], 12))
+
+    best = first(expected_grid(scores, refs, truth, s).collect(), "tau_floor", "recall_hat")
+    floor, hat = best["tau_floor"], best["recall_hat"]
+    own = {}
+    for r in refs.groupBy("bucket").agg(F.max("is_open").alias("open")).orderBy("bucket").collect():
+        if not r["open"]:
+            part = refs.where(F.col("bucket") == r["bucket"])
+            inside = expected_grid(scores.join(part.select("ref_id"), "ref_id", "left_semi"), part, truth.join(part.select("ref_id"), "ref_id", "left_semi"), s).where(F.col("tau_floor") == floor)
+            own[r["bucket"]] = first(inside.collect(), "recall_hat")["recall_hat"]
+    return floor, own, hat
+
+
+def decide_expected_by_bucket(scores: DataFrame, refs: DataFrame, tau_floor: float, hats: dict[str, float], hat: float, veto: float = DEFAULTS.veto) -> DataFrame:
+    """decide_expected with each bucket's recall_hat; open references use the one for all."""
+    out = decide_expected(scores, refs.where(F.col("is_open") | ~F.col("bucket").isin(*hats)), hat, tau_floor, veto)
+    for name, own in hats.items():
+        out = out.unionByName(decide_expected(scores, refs.where(~F.col("is_open") & (F.col("bucket") == name)), own, tau_floor, veto))
+    return out
+
+
+@dataclass
+class Policy:
+    """What a decision needs, as stored between runs."""
+
+    tau_match: float = DEFAULTS.tau_match
+    tau_s: float = DEFAULTS.tau_s
+    margin: float = DEFAULTS.margin
+    boost: float = DEFAULTS.boost
+    veto: float = DEFAULTS.veto
+    open_set: list[str] = field(default_factory=lambda: list(DEFAULTS.open_set))
+
+    def dump(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(asdict(self), f, indent=2)
+
+
+def resolve(given: dict[str, Any], *stored: dict[str, Any]) -> Policy:
+    """A policy from explicit values, then stored ones in their order, then the defaults; None counts as not given."""
+    names = Policy.__dataclass_fields__
+    return Policy(**{n: v for n in names for v in [next((d[n] for d in (given, *stored) if d.get(n) is not None), None)] if v is not None})

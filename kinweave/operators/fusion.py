@@ -100,3 +100,24 @@ def reduction_ratio(kept: DataFrame, refs: DataFrame, cands: DataFrame) -> DataF
     """1 - kept / (references * candidates)."""
     one = kept.agg(F.count("*").alias("kept")).crossJoin(refs.agg(F.count("*").alias("refs"))).crossJoin(cands.agg(F.count("*").alias("pool")))  # three single rows
     return one.select("kept", "refs", "pool", (1 - F.col("kept") / (F.col("refs") * F.col("pool"))).alias("reduction_ratio"))
+
+
+def tune_rrf(lists: DataFrame, truth: DataFrame, refs: DataFrame, n: int, values=DEFAULTS.rrf_k_grid) -> dict[str, float]:
+    """For each bucket the k of best recall among the first n, the smaller on ties; without true pairs the grid's first."""
+    by = refs.select("ref_id", "bucket")
+    best = lists.groupBy("ref_id", "channel", "cand_id").agg(F.min("rank").alias("rank"))
+    fused = over_grid(best, "k", values).groupBy("k", "ref_id", "cand_id").agg(F.round(F.sum(1 / (F.col("k") + F.col("rank"))), 12).alias("score"))
+    head = top(fused, ["k", "ref_id"], [F.desc("score"), F.col("cand_id")], n)
+    hits = head.join(truth.distinct(), ["ref_id", "cand_id"]).join(by, "ref_id").groupBy("bucket", "k").agg(F.count("*").alias("hits"))
+    out = {r["bucket"]: float(values[0]) for r in by.select("bucket").distinct().collect()}
+    for r in hits.orderBy("bucket", "hits", F.desc("k")).collect():
+        out[r["bucket"]] = r["k"]
+    return out
+
+
+def weight_sweep(lists: DataFrame, truth: DataFrame, weights: list[dict[str, float]], n: int, k: float = 60) -> list[tuple[dict[str, float], float]]:
+    """Recall among the first n for each set of channel weights, best first."""
+    pairs = truth.distinct()
+    total = max(1, pairs.count())
+    found = [(w, rrf(lists, k, w, n).join(pairs, ["ref_id", "cand_id"]).count() / total) for w in weights]
+    return sorted(found, key=lambda x: -x[1])

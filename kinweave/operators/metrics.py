@@ -119,3 +119,16 @@ def auc(scores: DataFrame) -> DataFrame:
     wins = F.sum(F.col("pos") * (F.col("below") + 0.5 * (F.col("n") - F.col("pos"))))
     pos, neg = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
     return rows.agg(pos.alias("n_pos"), neg.alias("n_neg"), F.when((pos == 0) | (neg == 0), 0.0).otherwise(wins / (pos.cast("double") * neg)).alias("auc"))
+
+
+def baselines(refs: DataFrame, truth: DataFrame, lists: DataFrame) -> DataFrame:
+    """Macro F0.5 of trivial predictions: none at all, every candidate, and the truth with a first candidate for singletons."""
+    nothing = truth.limit(0).select("ref_id", "cand_id")
+    whole = lists.select("ref_id", "cand_id").distinct()
+    single = refs.select("ref_id").join(truth.select("ref_id").distinct(), "ref_id", "left_anti")
+    first = lists.join(single, "ref_id", "left_semi").groupBy("ref_id").agg(F.min("cand_id").alias("cand_id"))
+    out = None
+    for name, pred in (("all_empty", nothing), ("all_candidates", whole), ("no_singleton_filter", truth.select("ref_id", "cand_id").unionByName(first))):
+        row = macro_f05(refs, truth, pred).select(F.lit(name).alias("baseline"), "macro_f05")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -365,6 +365,19 @@ def oracle_f05_at_k(spark, d):
     return _rounded(metrics.oracle_f05(V.references(spark, d), fusion.rrf(_lists(spark, d), 10), V.truth(spark, d)))
 
 
+@query()
+def rrf_k_by_bucket(spark, d):
+    """The k that each bucket would be fused with."""
+    best = fusion.tune_rrf(_lists(spark, d), V.truth(spark, d), V.references(spark, d), 5)
+    return spark.createDataFrame(sorted(best.items()), "bucket string, k double")
+
+
+@query(with_(V.REC, V.EXACT, V.GT, V.REFS, "a AS (SELECT 'all_empty' AS baseline, ref_id, NULL AS cand_id FROM refs WHERE false UNION ALL SELECT DISTINCT 'all_candidates', ref_id, cand_id FROM exact UNION ALL SELECT DISTINCT 'no_singleton_filter', ref_id, cand_id FROM gt UNION ALL SELECT 'no_singleton_filter', ref_id, min(cand_id) FROM exact WHERE ref_id NOT IN (SELECT ref_id FROM gt) GROUP BY ref_id)",
+             "e AS (SELECT b.baseline, r.ref_id, (SELECT count(*) FROM (SELECT DISTINCT * FROM gt) g WHERE g.ref_id = r.ref_id) AS t, (SELECT count(*) FROM a WHERE a.baseline = b.baseline AND a.ref_id = r.ref_id) AS p, (SELECT count(*) FROM a JOIN (SELECT DISTINCT * FROM gt) g USING (ref_id, cand_id) WHERE a.baseline = b.baseline AND ref_id = r.ref_id) AS h FROM refs r, (SELECT unnest(['all_empty', 'all_candidates', 'no_singleton_filter']) AS baseline) b)") + "SELECT baseline, round(avg(CASE WHEN t = 0 AND p = 0 THEN 1.0 WHEN t = 0 OR p = 0 THEN 0.0 ELSE 5.0 * h / (t + 4 * p) END), 6) AS macro_f05 FROM e GROUP BY baseline")
+def baselines(spark, d):
+    return _rounded(metrics.baselines(V.references(spark, d), V.truth(spark, d), blocking.exact_channel(*V.sides(spark, d))))
+
+
 # features
 
 

@@ -31,6 +31,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def artifact(root: str, stage: str, split: str, bucket: str | None = None) -> str:
+    """Where a stage's table lies; a bucket is a partition, so that a filter on it prunes the others."""
+    return f"{root}/{stage}/split={split}" + (f"/bucket={bucket}" if bucket else "")
+
+
 def merge_report(path: str, key: str, run: dict[str, Any]) -> dict[str, Any]:
     """Put a run into a JSON report: earlier runs stay under `runs`, the newest one's values stand on top. Replaced at once."""
     old: dict[str, Any] = {}

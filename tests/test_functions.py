@@ -113,3 +113,11 @@ def test_arrow_columns(spark):
     x = F.col("x")
     assert one(spark, "ﬁne", arrow.nfkc(x)) == "fine" and one(spark, "Ünïcode", arrow.without_accents(x)) == "Unicode"
     assert one(spark, "Robert", arrow.soundex(x)) == "R163" and one(spark, "1x", arrow.soundex(x)) == ""
+
+
+def test_profiles(spark):
+    x = F.col("x")
+    for value, want in (("Acme राम", "mixed"), ("राम", "indic"), ("Acme", "latin"), ("", "empty"), ("12", "other")):
+        assert one(spark, value, text.profile_script(x)) == want
+    assert one(spark, "Acme Corp.", text.profile_suffix(x)) == "corp" and one(spark, " A  b ", text.mild(x)) == "a b"
+    assert one(spark, "x", text.embedding_text("query", x, F.lit(""))) == "query: x" and one(spark, "x", text.embedding_text("passage", x, F.lit("a"))) == "passage: x | a"

@@ -277,3 +277,37 @@ def test_streaming_top_k(spark, tmp_path):
     versions = [int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir()]
     got = sorted((r["ref_id"], r["cand_id"], r["score"]) for r in state.current(max(versions)).collect())
     assert got == sorted((r["ref_id"], r["cand_id"], r["score"]) for r in merge(None, whole, 2).collect()) and last >= 0
+
+
+def test_tuning_of_fusion(spark):
+    refs = df(spark, [("1", "us"), ("2", "fr")], "ref_id string, bucket string")
+    lists = df(spark, [("1", "A", "x", 1), ("1", "C", "a", 1), ("1", "C", "x", 30), ("1", "A", "a", 2), ("2", "A", "q", 1)], LIST)
+    assert fusion.tune_rrf(lists, df(spark, [("1", "a")], PAIR), refs, 1) == {"us": 10.0, "fr": 10.0}
+    best = fusion.weight_sweep(lists, df(spark, [("1", "a")], PAIR), [{"A": 1, "C": 0}, {"A": 0, "C": 1}], 1)
+    assert best[0] == ({"A": 0, "C": 1}, 1.0)
+
+
+def test_tuning_by_bucket(spark):
+    refs = df(spark, [("1", "us", False), ("2", "us", False), ("3", "in", False), ("4", "fr", True)], "ref_id string, bucket string, is_open boolean")
+    scores = df(spark, [("1", "a", 0.9), ("1", "b", 0.5), ("2", "c", 0.2), ("3", "d", 0.7), ("4", "e", 0.9)], SCORE)
+    truth = df(spark, [("1", "a"), ("3", "d")], PAIR)
+    s = Settings(recall_hat_grid=(0.65, 0.9), tau_floor_grid=(0.0, 0.5))
+    floor, hats, hat = decision.tune_expected(scores, refs, truth, s)
+    assert set(hats) == {"us", "in"} and floor in s.tau_floor_grid and hat in s.recall_hat_grid
+    got = {(r["ref_id"], r["cand_id"]) for r in decision.decide_expected_by_bucket(scores, refs, floor, hats, hat).collect()}
+    assert {("1", "a"), ("3", "d")} <= got
+
+
+def test_policies(tmp_path):
+    p = decision.resolve({"tau_s": 0.4, "veto": None}, {"tau_s": 0.1, "veto": 0.7}, {"margin": 0.2})
+    assert (p.tau_s, p.veto, p.margin, p.tau_match) == (0.4, 0.7, 0.2, 0.5)
+    p.dump(str(tmp_path / "p.json"))
+    import json
+
+    assert decision.resolve(json.load(open(tmp_path / "p.json"))) == p
+
+
+def test_baselines(spark):
+    refs = refs_of(spark, "1", "2")
+    rows = {r["baseline"]: r["macro_f05"] for r in metrics.baselines(refs, df(spark, [("1", "a")], PAIR), df(spark, [("1", "A", "a", 1), ("1", "A", "b", 2), ("2", "A", "z", 1)], LIST)).collect()}
+    assert rows["all_empty"] == 0.5 and rows["no_singleton_filter"] == 0.5 and math.isclose(rows["all_candidates"], 5 / 9 / 2)
