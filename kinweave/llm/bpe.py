@@ -32,23 +32,32 @@ from pyspark.sql.functions import pandas_udf
 from kinweave.llm.common import prepare, text_or_empty
 
 LONG_WORD = 256
-#: Words that a Python worker keeps encoded, each of at most KEEP_CHARS characters.
-KEPT_WORDS, KEEP_CHARS = 1_000_000, 48
+#: Encoded words that a Python worker keeps in each of two generations, each of at most KEEP_CHARS characters.
+KEPT_WORDS, KEEP_CHARS = 400_000, 32
+#: Characters of texts whose new words one recursive query takes together, unless a single batch has more.
+GATHER_CHARS = 5_000_000
 
 CONTRACT = """
-WITH RECURSIVE state(w, p, t, done) AS (
-  SELECT w, p, t, false FROM words
+WITH RECURSIVE state(w, p, t, following, done) AS (
+  SELECT w, p, t, following, false FROM words
   UNION ALL
-  SELECT w, p, CASE WHEN hit THEN rank ELSE t END, best IS NULL
+  SELECT w, p,
+    CASE WHEN key = best THEN best >> 16 ELSE t END,
+    CASE WHEN key = best THEN second WHEN next_key = best THEN best >> 16 ELSE following END,
+    best IS NULL
   FROM (
-    SELECT w, p, t, rank, best, key = best AS hit, lag(key = best) OVER (PARTITION BY w ORDER BY p) AS absorbed
+    SELECT w, p, t, following, key,
+      min(key) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
+      lead(following) OVER (PARTITION BY w ORDER BY p) AS second,
+      lead(key) OVER (PARTITION BY w ORDER BY p) AS next_key,
+      lag(key) OVER (PARTITION BY w ORDER BY p) AS last_key
     FROM (
-      SELECT pair.w, pair.p, pair.t, merges.rank, merges.rank * 65536::BIGINT + pair.p AS key, min(merges.rank * 65536::BIGINT + pair.p) OVER (PARTITION BY pair.w) AS best
-      FROM (SELECT w, p, t, t * 4294967296::BIGINT + lead(t) OVER (PARTITION BY w ORDER BY p) AS ab FROM state WHERE NOT done) pair
-      LEFT JOIN merges ON merges.ab = pair.ab
+      SELECT w, p, t, following, (merges.rank << 16) + p AS key
+      FROM state LEFT JOIN merges ON merges.ab = (t << 32) + following
+      WHERE NOT done
     )
   )
-  WHERE absorbed IS NOT TRUE
+  WHERE best IS NULL OR last_key IS DISTINCT FROM best
 )
 SELECT w, list(t ORDER BY p) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
@@ -66,10 +75,10 @@ class Coder:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks, self.split = read_ranks(path), regex.compile(pattern)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.single = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)
-        self.values = {v: k for k, v in self.ranks.items()}
         rows = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": tempfile.mkdtemp()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.mkdtemp()})
         self._table("m", {"ab": pa.array([x[0] for x in rows], pa.int64()), "rank": pa.array([x[1] for x in rows], pa.int64())}, "merges")
         self._table("v", {"t": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())}, "vocabulary")
 
@@ -118,7 +127,10 @@ class Coder:
             lengths = np.fromiter(map(len, data), np.int64, len(data))
             raw = np.frombuffer(b"".join(data), np.uint8)
             place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            found = self._query("words", {"w": np.repeat(np.arange(len(rest)), lengths), "p": place, "t": self.single[raw]}, CONTRACT)
+            token, last = self.single[raw], np.zeros(len(raw), bool)
+            last[np.cumsum(lengths) - 1] = True
+            following = pa.array(np.append(token[1:], 0), mask=last)
+            found = self._query("words", {"w": np.repeat(np.arange(len(rest)), lengths), "p": place, "t": token, "following": following}, CONTRACT)
             ids = found["ids"].combine_chunks()
             flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4).tolist()
             for k, word in enumerate(rest):
@@ -126,19 +138,26 @@ class Coder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [self.split.findall(t) for t in texts]
-        kept = self.kept
-        new = self.words(list({w for words in pieces for w in words if w not in kept}))
-        if new:
-            known = {**{w: kept[w] for words in pieces for w in words if w in kept}, **new} if len(kept) + len(new) > KEPT_WORDS else None
-            if known is not None:
-                kept.clear()
-            kept.update((w, x) for w, x in new.items() if len(w) <= KEEP_CHARS)
-            long = {w: x for w, x in new.items() if len(w) > KEEP_CHARS}
-            if known is not None or long:
-                look = known or {**{w: kept[w] for words in pieces for w in words if w in kept}, **long}
-                return [b"".join([look[w] for w in words]) for words in pieces]
-        return [b"".join([kept[w] for w in words]) for words in pieces]
+        seen: dict[str, str] = {}
+        pieces = []
+        for text in texts:
+            found = self.split.findall(text)
+            pieces.append(list(map(seen.setdefault, found, found)))  # one object for each distinct word
+        kept, older = self.kept, self.older
+        look, again, new = {}, {}, []
+        for w in seen:
+            if (x := kept.get(w)) is not None:
+                look[w] = x
+            elif (x := older.get(w)) is not None:
+                again[w] = x
+            else:
+                new.append(w)
+        again |= self.words(new)
+        look |= again
+        if len(kept) + len(again) > KEPT_WORDS:
+            self.older, self.kept = kept, {}
+        self.kept.update((w, x) for w, x in again.items() if len(w) <= KEEP_CHARS)
+        return [b"".join(map(look.__getitem__, words)) for words in pieces]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         n = np.array([len(x) // 4 for x in ids], np.int64)
@@ -167,28 +186,52 @@ def encode_column(path: str, pattern: str, text: str = "text") -> Column:
     """The ids of a text as little-endian unsigned 32-bit integers."""
 
     @pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(coder(path, pattern).encode(batch.tolist()), dtype=object)
+    def encode(batch: pd.Series) -> pd.Series:
+        return pd.Series(coder(path, pattern).encode(batch.tolist()), dtype=object)
 
     return encode(text_or_empty(text))
 
 
 def decode_column(path: str, pattern: str, ids: str = "ids") -> Column:
-    """The bytes that ids, as encode_column gives them, stand for."""
+    """The bytes that ids, as encode_column gives them, stand for; null ids are none."""
 
     @pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(coder(path, pattern).decode(batch.tolist()), dtype=object)
+    def decode(batch: pd.Series) -> pd.Series:
+        return pd.Series(coder(path, pattern).decode([x or b"" for x in batch]), dtype=object)
+
+    return decode(F.col(ids))
 
-    return decode(F.coalesce(F.col(ids), F.lit(b"")))
+
+def gathered(batches: Iterator[pd.Series], chars: int) -> Iterator[list[pd.Series]]:
+    """Batches in groups of about so many characters."""
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += int(batch.str.len().sum())
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with the columns ids and decoded, both binary; columns of these names are replaced."""
     prepare(docs.sparkSession)
-    return docs.withColumn("ids", encode_column(path, pattern, text)).withColumn("decoded", decode_column(path, pattern))
+
+    @pandas_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = coder(path, pattern)
+        for group in gathered(batches, GATHER_CHARS):
+            ids = own.encode([t for batch in group for t in batch])
+            at = 0
+            for batch in group:
+                part = ids[at : at + len(batch)]
+                at += len(batch)
+                yield pd.DataFrame({"ids": part, "decoded": own.decode(part)})
+
+    out = docs.withColumn("__kw_coded", both(text_or_empty(text)))
+    return out.withColumns({"ids": F.col("__kw_coded.ids"), "decoded": F.col("__kw_coded.decoded")}).drop("__kw_coded")
 
 
 def id_list(ids: bytes) -> list[int]:

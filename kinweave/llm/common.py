@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts can be very long, so batches hold few rows.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 _shipped: set[str] = set()
 
 
