@@ -36,6 +36,8 @@ from kinweave.llm.common import checkpoint, new_folder, prepare
 
 CELLS, SHARD_BYTES, ROLL_BYTES = 4096, 16 << 20, 8 << 20
 MOST_BROADCAST = 200_000
+#: Writing tasks at most; beyond that a task writes several shards, one after another.
+MOST_TASKS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, seq int, temporary string, name string, n_records long, n_bytes long, sha256 string"
@@ -172,7 +174,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, html: str = "html")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     joined = joined.withColumns({"revisit": revisit, "refers_to": F.when(revisit, F.col("refers_to"))})
     deal, n = shards(brief)
-    dealt = joined.withColumn("shard", deal).repartition(min(n, 100_000), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    dealt = joined.withColumn("shard", deal).repartitionById(min(n, MOST_TASKS), F.col("shard") % min(n, MOST_TASKS)).sortWithinPartitions("shard", "page_id", "url", "digest")
     ready = dealt.select("shard", F.coalesce("page_id", F.lit(0)).alias("page_id"), F.col("page_id").isNotNull().alias("has_id"), "url", "payload", "digest", F.coalesce("refers_to", F.lit(0)).alias("refers_to"), "revisit", F.col("refers_to").isNotNull().alias("has_to"))
     ready.mapInPandas(lambda it: _write(it, folder), MANIFEST).write.parquet(f"{folder}/_manifest")
     manifest = spark.read.parquet(f"{folder}/_manifest")
