@@ -33,31 +33,33 @@ from kinweave.llm.common import prepare, text_or_empty
 
 LONG_WORD = 256
 #: Encoded words that a Python worker keeps in each of two generations, each of at most KEEP_CHARS characters.
-KEPT_WORDS, KEEP_CHARS = 400_000, 32
+KEPT_WORDS, KEEP_CHARS = 300_000, 32
 #: Characters of texts whose new words one recursive query takes together, unless a single batch has more.
-GATHER_CHARS = 5_000_000
+GATHER_CHARS = 1_000_000
 
+#: A token has its place p, the next token's place and the next token; next is -1 and following null at a word's end.
+#: Each step finds the pairs' ranks, the best pair of each word, and what follows the token that the best pair absorbs.
 CONTRACT = """
-WITH RECURSIVE state(w, p, t, following, done) AS (
-  SELECT w, p, t, following, false FROM words
-  UNION ALL
-  SELECT w, p,
-    CASE WHEN key = best THEN best >> 16 ELSE t END,
-    CASE WHEN key = best THEN second WHEN next_key = best THEN best >> 16 ELSE following END,
-    best IS NULL
-  FROM (
-    SELECT w, p, t, following, key,
-      min(key) OVER (PARTITION BY w ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
-      lead(following) OVER (PARTITION BY w ORDER BY p) AS second,
-      lead(key) OVER (PARTITION BY w ORDER BY p) AS next_key,
-      lag(key) OVER (PARTITION BY w ORDER BY p) AS last_key
-    FROM (
-      SELECT w, p, t, following, (merges.rank << 16) + p AS key
-      FROM state LEFT JOIN merges ON merges.ab = (t << 32) + following
+WITH RECURSIVE state(w, p, next, t, following, done) AS (
+  SELECT w, p, next, t, following, false FROM words
+  UNION ALL (
+    WITH pairs AS MATERIALIZED (
+      SELECT w, p, next, t, following, (merges.rank::BIGINT << 16) + p AS key
+      FROM state LEFT JOIN merges ON merges.ab = (t::BIGINT << 32) + following
       WHERE NOT done
+    ), best AS MATERIALIZED (
+      SELECT w, min(key) AS key, (min(key) & 65535)::INTEGER AS p, (min(key) >> 16)::INTEGER AS rank, arg_min(next, key) AS absorbed FROM pairs GROUP BY w
+    ), gone AS MATERIALIZED (
+      SELECT pairs.w, pairs.next, pairs.following FROM pairs JOIN best ON best.w = pairs.w AND best.absorbed = pairs.p
     )
+    SELECT pairs.w, pairs.p,
+      CASE WHEN pairs.p = best.p THEN gone.next ELSE pairs.next END,
+      CASE WHEN pairs.p = best.p THEN best.rank ELSE pairs.t END,
+      CASE WHEN pairs.p = best.p THEN gone.following WHEN pairs.next = best.p THEN best.rank ELSE pairs.following END,
+      best.key IS NULL
+    FROM pairs JOIN best ON best.w = pairs.w LEFT JOIN gone ON gone.w = pairs.w
+    WHERE best.key IS NULL OR pairs.p <> best.absorbed
   )
-  WHERE best IS NULL OR last_key IS DISTINCT FROM best
 )
 SELECT w, list(t ORDER BY p) AS ids FROM state WHERE done GROUP BY w ORDER BY w
 """
@@ -79,7 +81,8 @@ class Coder:
         self.single = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)
         rows = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.mkdtemp()})
-        self._table("m", {"ab": pa.array([x[0] for x in rows], pa.int64()), "rank": pa.array([x[1] for x in rows], pa.int64())}, "merges")
+        self.db.execute("SET allocator_flush_threshold = '1MB'; SET allocator_bulk_deallocation_flush_threshold = '1MB'")  # memory goes back between queries
+        self._table("m", {"ab": pa.array([x[0] for x in rows], pa.int64()), "rank": pa.array([x[1] for x in rows], pa.int32())}, "merges")
         self._table("v", {"t": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array(list(self.ranks), pa.binary())}, "vocabulary")
 
     def _table(self, name: str, columns: dict, to: str) -> None:
@@ -129,8 +132,9 @@ class Coder:
             place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             token, last = self.single[raw], np.zeros(len(raw), bool)
             last[np.cumsum(lengths) - 1] = True
-            following = pa.array(np.append(token[1:], 0), mask=last)
-            found = self._query("words", {"w": np.repeat(np.arange(len(rest)), lengths), "p": place, "t": token, "following": following}, CONTRACT)
+            columns = {"w": np.repeat(np.arange(len(rest)), lengths), "p": place, "next": np.where(last, -1, place + 1), "t": token}
+            narrow = {k: pa.array(x.astype(np.int32)) for k, x in columns.items()}
+            found = self._query("words", narrow | {"following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}, CONTRACT)
             ids = found["ids"].combine_chunks()
             flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4).tolist()
             for k, word in enumerate(rest):
