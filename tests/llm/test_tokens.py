@@ -47,6 +47,19 @@ def test_ids_are_the_librarys_and_decode(odd_docs, no_docs, spark):
     assert bpe.encode_and_decode(no_docs, RANKS, P.PATTERN).count() == 0
 
 
+def test_plain_texts_split_alike():
+    import random
+
+    r = random.Random(8)
+    chars = [chr(x) for x in (9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x180))] + list("  'st123_")
+    c = bpe.Coder(RANKS, P.PATTERN)
+    for _ in range(3000):
+        text = "".join(r.choices(chars, k=r.randint(0, 40)))
+        assert bpe.PLAIN.fullmatch(text) and c.split.findall(text) == c.split_plain.findall(text)
+    for x in ("\x1c", "²", "½", "\u0660", "\u2028", "\xa0", "中"):
+        assert not bpe.PLAIN.fullmatch(x)
+
+
 def test_columns_alone(odd_docs):
     coded = odd_docs.withColumn("ids", bpe.encode_column(RANKS, P.PATTERN)).withColumn("back", bpe.decode_column(RANKS, P.PATTERN))
     assert all(bytes(r["back"]) == (r["text"] or "").encode() for r in coded.collect())
