@@ -27,7 +27,7 @@ from kinweave.llm.common import prepare, text_or_empty
 
 BITS = 12
 #: Texts that train the scorer, at most; half of them from either side of the posterior where there are enough.
-SAMPLE = 6000
+SAMPLE = 4000
 ROUNDS, EPOCHS, STEP, DECAY = 60, 300, 4.0, 1e-4
 _space, _letter, _upper, _digit = (np.zeros(256, bool) for _ in range(4))
 _space[[9, 10, 11, 12, 13, 32]] = True
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
             for t, h in zip(texts, spread, strict=True):
                 m = measures(t)
                 y = shared.value.get(votes(m), 0.5)
-                rows.append((features(t, m).tobytes() if h / 2**64 + 0.5 < rates[y > 0.5] else None, y, h))
+                rows.append((features(t, m).astype(np.float16).tobytes() if h / 2**64 + 0.5 < rates[y > 0.5] else None, y, h))
             yield pd.DataFrame(rows, columns=["x", "y", "h"])
 
     key = F.xxhash64(text_or_empty(text), F.lit(11))
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
     rows = chosen.select("f.*").dropDuplicates(["h"]).orderBy("h", "y").limit(2 * sample).collect()
     if not rows:
         return Model(weak, np.zeros(1 << BITS, np.float32), 0.0)
-    return Model(weak, *train(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["y"] for r in rows], np.float32)))
+    return Model(weak, *train(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), np.array([r["y"] for r in rows], np.float32)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_from: float = 0.5) -> DataFrame:
