@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions import lists
+from kinweave.functions import lists, text
 
 
 def is_alpha(t: Column) -> Column:
@@ -21,7 +21,7 @@ def postal(norm: Column, country_name: Column) -> Column:
     out = F.lit("")
     for name, pattern in lists.POSTAL.items():
         found = F.regexp_extract_all(norm, F.lit(pattern), F.lit(0))
-        out = F.when(country_name == name, last(found)).otherwise(out)
+        out = F.when(country_name == name, text.let(found, last)).otherwise(out)
     return out
 
 
@@ -30,42 +30,46 @@ def house_number(words: Column) -> Column:
     return F.coalesce(F.get(F.filter(words, lambda t: t.rlike(r"^\p{Nd}+(-\p{Nd}+)?$")), 0), F.lit(""))
 
 
-def tail_name(words: Column, names: list[str], most: int) -> Column:
-    """The longest tail of up to `most` tokens that is one of names, or an empty string."""
-    out = F.lit("")
-    for k in range(1, most + 1):
-        tail = F.when(F.size(words) >= k, F.array_join(F.slice(words, F.greatest(F.size(words) - (k - 1), F.lit(1)), k), " "))
-        out = F.when(tail.isin(*names), tail).otherwise(out)
-    return out
-
-
 def _last_alpha(words: Column) -> Column:
     return last(F.filter(words, is_alpha))
 
 
-def _us(words: Column) -> tuple[Column, Column]:
-    at = F.aggregate(F.sequence(F.lit(0), F.size(words)), F.lit(-1), lambda best, i: F.when(F.coalesce(F.get(words, i).isin(*lists.STATES["us"]), F.lit(False)), i).otherwise(best))
-    one, two = F.get(words, at - 1), F.get(words, F.greatest(at - 2, F.lit(0)))
+def _place(state: Column, city: Column) -> Column:
+    return F.struct(state.alias("state"), city.alias("city"))
+
+
+def _us(words: Column) -> Column:
+    states, streets = text.literal_array(lists.STATES["us"]), text.literal_array(lists.STREET_TYPES)
+    places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.coalesce(F.array_contains(states, F.get(words, i)), F.lit(False)))
 
     def usable(t: Column) -> Column:
-        return is_alpha(t) & ~t.isin(*lists.STREET_TYPES)
+        return F.coalesce(is_alpha(t) & ~F.array_contains(streets, t), F.lit(False))
+
+    def found(at: Column) -> Column:
+        two = F.slice(words, F.greatest(at - 1, F.lit(1)), F.greatest(F.least(at, F.lit(2)), F.lit(0)))
+        city = text.let(two, lambda w: F.when(~usable(F.get(w, F.size(w) - 1)), "").when((F.size(w) == 2) & usable(F.get(w, 0)), F.array_join(w, " ")).otherwise(F.get(w, F.size(w) - 1)))
+        return F.when(at > 0, _place(F.get(words, at), city)).otherwise(_place(F.lit(""), _last_alpha(words)))
+
+    return text.let(F.coalesce(F.get(places, F.size(places) - 1), F.lit(-1)), found)
+
+
+def _by_tail(words: Column, name: str, most: int) -> Column:
+    def found(state: Column) -> Column:
+        n = F.when(state == "", 0).otherwise(F.size(F.split(state, " ")))
+        return _place(state, _last_alpha(F.slice(words, 1, F.size(words) - n)))
 
-    city = F.when(~usable(one), "").when((at >= 2) & usable(two), F.concat_ws(" ", two, one)).otherwise(one)
-    return F.when(at > 0, F.get(words, at)).otherwise(""), F.when(at > 0, city).otherwise(_last_alpha(words))
+    return text.let(text.longest_tail(words, lists.STATES[name], most), found)
 
 
-def _by_tail(words: Column, name: str, most: int) -> tuple[Column, Column]:
-    state = tail_name(words, lists.STATES[name], most)
-    before = F.slice(words, 1, F.size(words) - F.when(state == "", 0).otherwise(F.size(F.split(state, " "))))
-    return state, _last_alpha(before)
+def place(words: Column, country_name: Column) -> Column:
+    """A struct of state and city by the country's rule; without one there is no state, and the city is the last
+    alphabetic token."""
+    return F.when(country_name == "us", _us(words)).when(country_name == "india", _by_tail(words, "india", 2)).when(country_name == "france", _by_tail(words, "france", 3)).otherwise(_place(F.lit(""), _last_alpha(words)))
 
 
 def state_and_city(words: Column, country_name: Column) -> tuple[Column, Column]:
-    """State and city by the country's rule; without one there is no state, and the city is the last alphabetic token."""
-    state, city = F.lit(""), _last_alpha(words)
-    for name, (s, c) in {"us": _us(words), "india": _by_tail(words, "india", 2), "france": _by_tail(words, "france", 3)}.items():
-        state, city = F.when(country_name == name, s).otherwise(state), F.when(country_name == name, c).otherwise(city)
-    return state, city
+    both = place(words, country_name)
+    return both["state"], both["city"]
 
 
 def city_after_postal(words: Column, code: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from kinweave.functions import lists
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once and standing in the plan once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -78,15 +83,23 @@ def expand(words: Column, country_name: Column) -> Column:
     return tokens(F.array_join(out, " "))
 
 
+def tail(words: Column, k: int) -> Column:
+    """The last k words, joined; null if there are fewer."""
+    return F.when(F.size(words) >= k, F.array_join(F.slice(words, F.greatest(F.size(words) - (k - 1), F.lit(1)), k), " "))
+
+
+def longest_tail(words: Column, names: Iterable[str], most: int) -> Column:
+    """The longest tail of up to `most` words that is one of names, or an empty string."""
+    known = literal_array(names)
+    tails = F.array(*[tail(words, k) for k in range(most, 0, -1)])
+    return F.coalesce(F.get(F.filter(tails, lambda x: F.array_contains(known, x)), 0), F.lit(""))
+
+
 def legal_suffix(words: Column, country_name: Column) -> Column:
     """The longest tail of five words or fewer that is a legal form of the country, or an empty string."""
     out = F.lit("")
     for name, forms in lists.LEGAL_SUFFIXES.items():
-        found = F.lit("")
-        for k in range(1, 6):
-            tail = F.when(F.size(words) >= k, F.array_join(F.slice(words, F.greatest(F.size(words) - (k - 1), F.lit(1)), k), " "))
-            found = F.when(tail.isin(*forms), tail).otherwise(found)
-        out = F.when(country_name == name, found).otherwise(out)
+        out = F.when(country_name == name, longest_tail(words, forms, 5)).otherwise(out)
     return out
 
 

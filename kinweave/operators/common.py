@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from kinweave.config import DEFAULTS
 
 
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once, however often later expressions use them.
+
+    A projection would be inlined into those; a generator of one row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def small(df: DataFrame, most: int = DEFAULTS.broadcast_rows) -> DataFrame:
     """df with a broadcast hint if it has `most` rows or fewer, else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

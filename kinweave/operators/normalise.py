@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import address, arrow, text
+from kinweave.operators.common import bound
 
 
 def normalise(raw: DataFrame) -> DataFrame:
@@ -20,15 +21,11 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
     df = df.withColumn("name_nfkc", arrow.nfkc(c("name_raw"))).withColumn("script_type", text.script(c("name_nfkc")))
     df = df.withColumn("name_clean", arrow.clean_text(c("name_nfkc"), c("script_type"))).withColumn("addr_clean", arrow.clean_text(c("addr_raw"), c("script_type")))
-    df = df.withColumn("name_tokens", text.expand(text.tokens(F.lower(text.punctuation(c("name_clean")))), c("country_norm")))
-    df = df.withColumn("name_legal_suffix", text.legal_suffix(c("name_tokens"), c("country_norm")))
-    df = df.withColumn("core", text.without_stopwords(text.without_suffix(c("name_tokens"), c("name_legal_suffix"))))
+    df = bound(df, name_tokens=text.expand(text.tokens(F.lower(text.punctuation(c("name_clean")))), c("country_norm")), addr_tokens=text.tokens(F.lower(text.punctuation(c("addr_clean")))))
     df = df.withColumn("name_phonetic", F.when(c("script_type") == "latin", arrow.metaphones(c("name_tokens"))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("addr_tokens", text.tokens(F.lower(text.punctuation(c("addr_clean")))))
-    df = df.withColumn("addr_norm", F.array_join("addr_tokens", " ")).withColumn("addr_postal", address.postal(c("addr_norm"), c("country_norm")))
-    state, city = address.state_and_city(c("addr_tokens"), c("country_norm"))
-    df = df.withColumns({"addr_state": state, "addr_city": city})
-    df = df.withColumn("addr_city", F.when(c("addr_city") == "", address.city_after_postal(c("addr_tokens"), c("addr_postal"))).otherwise(c("addr_city")))
+    df = bound(df, name_legal_suffix=text.legal_suffix(c("name_tokens"), c("country_norm")), addr_norm=F.array_join("addr_tokens", " "), place=address.place(c("addr_tokens"), c("country_norm")))
+    df = bound(df, core=text.without_stopwords(text.without_suffix(c("name_tokens"), c("name_legal_suffix"))), addr_postal=address.postal(c("addr_norm"), c("country_norm")), addr_state=c("place.state"))
+    df = bound(df, addr_city=F.when(c("place.city") == "", address.city_after_postal(c("addr_tokens"), c("addr_postal"))).otherwise(c("place.city")))
     return df.select(
         "entity_id", "source", "country_raw", "country_norm", "name_raw", F.array_join("name_tokens", " ").alias("name_norm"), "name_tokens", "name_phonetic",
         "name_legal_suffix", F.array_join("core", " ").alias("name_core"), "addr_raw", "addr_norm", "addr_tokens", address.house_number(c("addr_tokens")).alias("addr_house_number"),

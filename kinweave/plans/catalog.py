@@ -183,8 +183,7 @@ CASE WHEN i > 1 THEN CASE WHEN NOT regexp_full_match(w[i - 1], {ALPHA}) OR w[i -
   WHEN i > 2 AND regexp_full_match(w[i - 2], {ALPHA}) AND w[i - 2] NOT IN ({_words(lists.STREET_TYPES)}) THEN w[i - 2] || ' ' || w[i - 1] ELSE w[i - 1] END
 ELSE coalesce(list_filter(w, lambda t: regexp_full_match(t, {ALPHA}))[-1], '') END AS city FROM last_state""")
 def addr_state_city(spark, d):
-    state, city = address.state_and_city(F.col("w"), F.lit("us"))
-    return _addresses(spark, d).select("entity_id", state.alias("state"), city.alias("city"))
+    return _addresses(spark, d).select("entity_id", address.place(F.col("w"), F.lit("us")).alias("place")).select("entity_id", "place.state", "place.city")
 
 
 @query()
