@@ -11,8 +11,8 @@ WINDOW words are known from any passage isn't walked: a copy within the toleranc
 
 Passages are read in blocks of bounded size, each broadcast once; a benchmark of any size is so many blocks.
 
-Defined cases: null texts are empty; a passage without words never matches; passages shorter than SHORT words are too
-short for sampled walks, and are found by exact pieces, one more than the edits allowed, of which one must be whole; an item_id may be null or repeated, each row of the benchmark is its own passage; a document
+Defined cases: null texts are empty; a passage without words never matches; sampled walks miss some copies
+of passages shorter than SHORT words, so these are found by exact pieces as well, one more than the edits allowed, of which one must be whole; an item_id may be null or repeated, each row of the benchmark is its own passage; a document
 meets a passage once, at the least distance and then the first place; empty tables give empty results; other columns
 are kept, a column named like the output is replaced.
 """
@@ -35,7 +35,7 @@ from kinweave.llm.common import prepare, text_or_empty
 #: Edits allowed for each word of a passage.
 TOLERANCE = 0.2
 WALKS, SAMPLES, SAMPLED, STEPS = 4, 4, 6, 24
-STRIDE, SHORT, WINDOW, MIN_KNOWN, MIN_AGREE = 4, 12, 12, 8, 10
+STRIDE, SHORT, WINDOW, MIN_KNOWN, MIN_AGREE = 4, 30, 12, 8, 10
 #: Proposed places whose words are counted at once.
 COUNTED = 20_000
 #: Characters of passages in a block.

@@ -107,6 +107,23 @@ def test_short_passages_exhaustively():
         assert {m["item_id"]: m["distance"] for m in found} == want
 
 
+def test_every_passage_of_12_to_19_words_is_found(spark):
+    """Real passages cut to few words and planted with all the edits allowed."""
+    r = random.Random(12)
+    items = [dc.words_of(x["text"]) for x in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    docs = [dc.words_of(x["text"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(30).collect()]
+    for n in range(12, 20):
+        cut = [x[a : a + n] for x in items if len(x) >= n for a in [r.randint(0, len(x) - n)]]
+        index = dc.build([(i, " ".join(x)) for i, x in enumerate(cut)])
+        texts, want = [], []
+        for i in range(100):
+            host = r.choice(docs)[:200]
+            at = r.randint(0, len(host))
+            texts.append(" ".join(host[:at] + edited(r, cut[i % len(cut)], int(0.2 * n)) + host[at:]))
+            want.append(i % len(cut))
+        assert all(any(m["item_id"] == i for m in f) for i, f in zip(want, dc.match(index, texts), strict=True)), n
+
+
 def test_many_blocks_agree(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
