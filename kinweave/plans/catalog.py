@@ -258,7 +258,7 @@ def block_dense_exact(spark, d):
 
 @query()
 def block_dense_ivf(spark, d):
-    return dense.ivf_knn(*V.vectors(spark, d), k=10, cells=16, probes=8)
+    return dense.ivf_knn(*V.vectors(spark, d), k=10, cells=16, probes=12)
 
 
 # fusion

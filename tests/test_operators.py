@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from kinweave.config import Settings
 from kinweave.operators import audit, blocking, decision, dense, features, fusion, metrics, models, pairs
+from kinweave.plans import views
+from kinweave.plans.catalog import QUERIES
 from kinweave.streaming.topk import TopK, merge
 
 
@@ -67,6 +69,13 @@ def test_dense_channels(spark):
     assert len(near & {(q, c) for (q, _), c in got.items()}) / len(got) >= 0.8
 
 
+def test_registered_cells_keep_the_neighbours(spark):
+    d = "/root/testdata/sf0.01"
+    want = dense.exact_knn(*views.vectors(spark, d), k=10)
+    held = want.join(QUERIES["block_dense_ivf"](spark, d), ["ref_id", "cand_id"], "left_semi")
+    assert held.count() / want.count() >= 0.9
+
+
 LIST = "ref_id string, channel string, cand_id string, rank int"
 
 
