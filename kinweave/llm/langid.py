@@ -5,6 +5,7 @@ inverse document frequency and normalised. Spherical k-means gives each language
 the centroid with the largest cosine wins. A text further from it than nearly all training texts is rejected.
 
 The fit uses a sample of labelled texts, chosen by a hash: about PER_LANGUAGE of each language and MOST in all at most.
+Many languages share MOST evenly; what the rare ones leave goes to the others.
 
 Defined cases: a null text, or one without letters, is `und`, has score 0 and is rejected; without any labelled text
 every language is `und`; ties go to the language that sorts first; rows without a label or whose doc_id is null are
@@ -107,24 +108,39 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def level(counts: list[int], per_language: int, most: int) -> float:
+    """The texts that a language may give at most, so that all of them together give about `most`."""
+    share, left = float(per_language), most
+    for i, n in enumerate(sorted(counts)):
+        share = min(per_language, left / (len(counts) - i))
+        if n >= share:
+            break
+        left -= n
+    return share
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST) -> Model:
     """A model from a bounded sample of the labelled documents that aren't held out."""
     prepare(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
     totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
-    rates = {r["lang"]: per_language / r["count"] for r in totals.collect()}
-    if not rates:
+    counts = {r["lang"]: r["count"] for r in totals.collect()}
+    if not counts:
         return fit_rows([])
+    share = level(list(counts.values()), per_language, most)
+    rates = {k: min(1.0, share / n) for k, n in counts.items()}
     rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("lang")]
     spread = F.xxhash64("doc_id", F.lit(7))
-    chosen = labelled.where((spread.cast("double") / 2.0**64 + 0.5) < rate)
+    place = (spread.cast("double") / 2.0**64 + 0.5) / rate  # of the language's sample, alike for all languages
+    chosen = labelled.where(place < 1)
 
     @pandas_udf("binary")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([grams(t).astype(np.float32).tobytes() if has_letter(t) else None for t in batch], dtype=object)
 
-    rows = chosen.select("lang", spread.alias("h"), "doc_id", counted(text_or_empty("text")).alias("v")).where("v is not null").orderBy("h", "doc_id", "lang", "v").limit(most).collect()
+    rows = chosen.select("lang", place.alias("place"), spread.alias("h"), "doc_id", counted(text_or_empty("text")).alias("v")).where("v is not null").orderBy("place", "h", "doc_id", "lang", "v").limit(most).collect()
+    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["lang"], r["v"]))
     return fit_rows([(r["lang"], np.frombuffer(r["v"], np.float32)) for r in rows])
 
 

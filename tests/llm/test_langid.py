@@ -29,6 +29,15 @@ def test_held_out_rows_are_not_learned_from(spark):
     assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["y"]
 
 
+def test_rare_languages_stay_in_a_bounded_sample(spark):
+    """Twenty languages of 3,000 texts and one of 60: the bound cuts them alike."""
+    name = "CASE WHEN id < 60 THEN 'rare' ELSE concat('l', id % 20) END"
+    docs = spark.range(60_060).selectExpr("id AS doc_id", f"concat({name}, ' abc def') AS text", f"{name} AS lang")
+    assert langid.fit(docs, per_language=40, most=200).languages == sorted(["rare", *(f"l{i}" for i in range(20))])
+    assert langid.level([300, *[100_000] * 20], 400, 4000) == 4000 / 21
+    assert langid.level([10, 5000], 400, 400) == 390 and langid.level([10, 5000], 400, 4000) == 400
+
+
 def test_noise_is_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs)
