@@ -1,7 +1,8 @@
 """Secrets in texts: an Aho-Corasick pass over keywords, anchored expressions at the hits, checksums at last.
 
 Kinds, in this order: assign, access and hex are the base; github and npm tokens count only if their embedded CRC32
-agrees, jwt only if its header is JSON that names an algorithm, pem is the first line of a private key. Runs of hex
+agrees, jwt only if its header is JSON that names an algorithm, pem is a private key from its first line through
+the matching last line or, without one, through the base64 lines that follow. Runs of hex
 digits have no keyword; they are scanned for directly. Matches of a kind don't overlap, the leftmost comes first.
 
 Defined cases: a null text is empty and has no secrets; offsets are code points, the end is exclusive; an empty table
@@ -42,7 +43,12 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]{16,}")
-PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+#: What may stand between the lines of a key: blanks, quotes, marks of quoted or commented lines, escaped line ends.
+GAP = rb"(?:[\s\"',>#*|]|\\[nrt])*+"
+PEM = re.compile(
+    rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END \1-----"
+    rb"|(?:" + GAP + rb"[A-Z][A-Za-z]*-[A-Z][A-Za-z]*: [^\r\n\\]*)*(?:" + GAP + rb"[A-Za-z0-9+/]{16,}={0,2})+(?:" + GAP + rb"[A-Za-z0-9+/]+={0,2}(?![A-Za-z0-9+/]))?|)"
+)
 DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 

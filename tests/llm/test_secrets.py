@@ -38,6 +38,24 @@ def test_checksums_decide():
     assert [x[0] for x in secrets.scan(b"-----BEGIN RSA PRIVATE KEY-----")] == ["pem"]
 
 
+def test_no_key_body_is_left():
+    r = random.Random(5)
+    body = ["".join(r.choices(secrets.DIGITS.decode() + "+/", k=n)) for n in (64, 64, 64, 22)]
+    body[-1] += "=="
+    for kind in ("", "RSA ", "OPENSSH ", "ENCRYPTED "):
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        for gap in ("\n", "\r\n", "\\n", "\n> ", "\n    ", " "):
+            for info in ([], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C"]):
+                for last in ([end], []):
+                    if info and gap == " " and not last:
+                        continue
+                    key = gap.join([begin, *info, *body, *last])
+                    assert secrets.redact_text(f"é before {key}\n\n(after) the key") == "é before [secret]\n\n(after) the key", key
+    two = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(body)
+    assert secrets.redact_text(f"a {two}\n-----BEGIN PRIVATE KEY-----\n{body[0]}\n-----END PRIVATE KEY----- b") == "a [secret]\n[secret] b"
+    assert secrets.redact_text("a -----BEGIN RSA PRIVATE KEY----- is how it starts") == "a [secret] is how it starts"
+
+
 def test_frame_and_redaction(odd_docs, no_docs, spark):
     for r in secrets.find_secrets(odd_docs).collect():
         assert [(x["kind"], x["start"], x["end"]) for x in r["secrets"]] == secrets.scan((r["text"] or "").encode())
