@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import address, arrow, lists, text
-from kinweave.operators import audit, blocking, decision, dense, features, fusion, metrics, models, pairs
+from kinweave.operators import audit, blocking, decision, dense, features, fusion, metrics, models, normalise, pairs
 from kinweave.plans import linkage, views
 from kinweave.sources import sinks
 
@@ -425,7 +425,8 @@ def feature_jaro_winkler(spark, d):
 
 @query()
 def features_all(spark, d):
-    return _feature_pairs(spark, d)
+    """The features of sampled pairs of the fused candidates, with the signals of their retrieval."""
+    return _sampled_features(spark, d)
 
 
 # sampling
@@ -458,6 +459,21 @@ def _sampled(spark, d):
     return pairs.sample_pairs(refs, fusion.rrf(_lists(spark, d), 10, top_n=50), V.truth(spark, d), pool, _key("ref_id"))
 
 
+def _sampled_features(spark, d):
+    """Features of sampled pairs on normalised records. The tables hold no vectors of records, so dense_score stays 0."""
+    raw = V.records(spark, d).select("entity_id", F.col("name_core").alias("business_name"), F.col("addr_norm").alias("business_address"), F.col("bucket").alias("country"))
+    numbers = V.records(spark, d).select("entity_id", "addr_postal", "addr_house_number")
+    full = normalise.normalise(raw).drop("addr_postal", "addr_house_number").join(numbers, "entity_id").persist()
+    full = features.with_weights(full, features.idf_table(full), full.count())
+    lists_ = _lists(spark, d).persist()
+    fused, found = fusion.rrf(lists_, 10).select("ref_id", "cand_id", F.col("score").alias("rrf_score")), fusion.agreement(lists_, 3).withColumnRenamed("agreement", "channel_agreement")
+    sounds = blocking.phonetic_channel(*(blocking.phonetic_columns(x, "name_core", "addr_norm") for x in V.sides(spark, d))).select("ref_id", "cand_id", F.col("score").alias("phon_score"))
+    rows = _sampled(spark, d)
+    for signal in (fused, found, sounds):
+        rows = rows.join(signal, ["ref_id", "cand_id"], "left")
+    return features.features(rows, full)
+
+
 SAMPLE = ("fl AS (SELECT * FROM fused WHERE rank <= 50)", "g AS (SELECT DISTINCT * FROM gt)", "m AS (SELECT fl.*, CASE WHEN g.ref_id IS NULL THEN 0 ELSE 1 END AS label FROM fl LEFT JOIN g USING (ref_id, cand_id))",
           "c AS (SELECT r.ref_id, r.bucket, coalesce((SELECT sum(label) FROM m WHERE m.ref_id = r.ref_id), 0) AS np, (SELECT count(*) FROM g WHERE g.ref_id = r.ref_id) AS nt FROM refs r)",
           "o AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank, cand_id) AS place FROM m WHERE label = 0)")
@@ -631,9 +647,7 @@ def isotonic_fit(spark, d):
 @query()
 def model_scores(spark, d):
     """Out-of-fold probabilities of a boosted model on the features of sampled pairs."""
-    f = _feature_pairs(spark, d).drop("label")
-    rows = f.join(V.truth(spark, d).distinct().withColumn("label", F.lit(1)), ["ref_id", "cand_id"], "left").fillna(0, ["label"])
-    scored, _ = models.out_of_fold(rows, n=2, kind="logistic")
+    scored, _ = models.out_of_fold(_sampled_features(spark, d).persist())
     return scored.select("ref_id", "cand_id", "label", r6("oof_prob", "oof_prob"))
 
 

@@ -76,6 +76,15 @@ def test_registered_cells_keep_the_neighbours(spark):
     assert held.count() / want.count() >= 0.9
 
 
+def test_registered_features_vary(spark):
+    """Sampled pairs aren't only those of equal names, and carry the signals of their channels."""
+    rows = QUERIES["features_all"](spark, "/root/testdata/sf0.001")
+    assert {r["neg_type"] for r in rows.select("neg_type").distinct().collect()} == {"pos", "hard", "easy"}
+    found = rows.agg(*[F.count_distinct(c).alias(c) for c in features.NAMES]).first().asDict()
+    for name in ("name_ratio", "name_jaro_winkler", "name_phonetic_jaccard", "name_idf_overlap", "ret_exact_key_hit", "ret_rrf_score", "ret_retriever_agreement", "ret_phon_score"):
+        assert found[name] > 1, name
+
+
 LIST = "ref_id string, channel string, cand_id string, rank int"
 
 
