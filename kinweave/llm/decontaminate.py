@@ -1,28 +1,37 @@
-"""Benchmark passages in documents, within an edit distance in words.
-
-Texts are lower-cased word sequences; words that no passage has count as one. The CGK random walk reads a sequence
-with a pointer that stays or moves on by a random bit of the word it reads, and so turns edit distance into Hamming
-distance of the words read. Windows of a passage start at each of its words; windows of a document start at every
-STRIDE-th word, so a copied passage holds several of them, each met by the passage's window of the same offset. LSH
-tables sample few steps of several walks; windows that agree in a table and in MIN_AGREE steps of its walk give a
-passage and an offset. The place there, as long as the passage and its allowed edits, must hold enough of the
-passage's words, and is then verified by exact semi-global edit distance. A window where fewer than MIN_KNOWN of
-WINDOW words are known from any passage isn't walked: a copy within the tolerance has windows of its average density.
-
-Passages are read in blocks of bounded size, each broadcast once; a benchmark of any size is so many blocks.
-
-Defined cases: null texts are empty; a passage without words never matches; sampled walks miss some copies
-of passages shorter than SHORT words, so these are found by exact pieces as well, one more than the edits allowed, of which one must be whole; an item_id may be null or repeated, each row of the benchmark is its own passage; a document
-meets a passage once, at the least distance and then the first place; empty tables give empty results; other columns
-are kept, a column named like the output is replaced.
+"""Benchmark passages in documents, within an edit distance in words or in characters.
+
+Texts are lower-cased word sequences (a character of a script written without spaces is a word); words that no passage
+has count as one. The CGK random walk reads a sequence with a pointer that stays or moves on by a random bit of the
+word it reads, and so turns edit distance into Hamming distance of the words read. Walks start at every word of a
+passage and at every word of a document that any passage has; each walk's sampled steps are a key, and equal keys give a
+passage and the place where it would begin. Sampled steps must lie on at least DISTINCT places, since a pointer that
+stays reads nothing new. The place there must hold enough of the passage's words, and is then verified by exact
+semi-global edit distance: at most `tolerance` edits for each word or, failing that, `char_tolerance` edits for each
+character of the passage.
+
+Windows are not as long as their items: a walk over a whole item meets so many of the allowed edits that its samples
+rarely agree. Among the n words of a copy with floor(0.2 n) edited, some run of about four words is whole, and walks of
+STEPS steps that start there agree; WALKS repetitions bring every length to the recall that the README lists.
+
+Passages below SHORT words may hold no whole run of that length. They are also found by exact pieces, one more than the
+edits allowed, of which one is whole in any copy.
+
+Passages are read in blocks of BLOCK_CHARS characters, each broadcast once; a benchmark of any size is so many blocks,
+and after every CHAIN blocks the documents are checkpointed, so that no task holds more than CHAIN indexes.
+
+Defined cases: null texts are empty; a passage without words never matches; an item_id may be null or repeated, each
+row of the benchmark is its own passage; a document meets a passage once, by words if it can, at the least distance and
+then the first place; texts of any length are matched whole; repeated documents give repeated rows; empty tables give
+empty results; other columns are kept, a column named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,70 +39,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import prepare, text_or_empty
+from kinweave.llm.common import checkpoint, prepare, text_or_empty
 
-#: Edits allowed for each word of a passage.
-TOLERANCE = 0.2
-WALKS, SAMPLES, SAMPLED, STEPS = 4, 4, 6, 24
-STRIDE, SHORT, WINDOW, MIN_KNOWN, MIN_AGREE = 4, 30, 12, 8, 10
+#: Edits allowed for each word, and for each character, of a passage.
+TOLERANCE, CHAR_TOLERANCE = 0.2, 0.1
+WALKS, STEPS, SAMPLED, DISTINCT, SHORT = 4, 6, 4, 3, 10
 #: Proposed places whose words are counted at once.
 COUNTED = 20_000
-#: Characters of passages in a block.
-BLOCK_CHARS = 600_000
+#: Characters of passages in a block, and blocks between checkpoints.
+BLOCK_CHARS, CHAIN = 2_000_000, 4
 SEED = 42
-WORD = re.compile(r"\w+")
+#: Scripts written without spaces between words: Thai to Tibetan, Burmese, Khmer, kana and Han.
+UNSPACED = "฀-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+WORD, HAS_UNSPACED, MIXED = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
-
-
-def nearest(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    low = text.lower()
+    return (MIXED if not low.isascii() and HAS_UNSPACED.search(low) else WORD).findall(low)
+
+
+def ends(pattern: Sequence, text: Sequence, anchored: bool) -> Iterator[int]:
+    """The edit distance of pattern to the best substring that ends after each prefix of text, the empty one first.
+
+    If anchored, the substring begins where text does. Rows of the distance matrix are bits of integers of any size.
+    """
+    where: dict = {}
+    for i, x in enumerate(pattern):
+        where[x] = where.get(x, 0) | 1 << i
+    full, last, carry = (1 << len(pattern)) - 1, 1 << max(0, len(pattern) - 1), int(anchored)
+    up, down, score, get = full, 0, len(pattern), where.get
+    yield score
+    for x in text:
+        eq = get(x, 0)
+        level = (((eq & up) + up) ^ up) | eq | down
+        more, less = down | (full & ~(level | up)), up & level
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        more, less = (more << 1) | carry, less << 1
+        mix = eq | down
+        up, down = (less | ~(mix | more)) & full, more & mix & full
+        yield score
+
+
+def nearest(pattern: Sequence, text: Sequence) -> tuple[int, int, int]:
     """(distance, start, end): the substring of text with the least edit distance to pattern; the first to end, then the longest."""
-    n, cols = len(pattern), np.arange(len(text) + 1)
-    row, start = np.zeros(len(text) + 1, np.int64), cols.copy()
-    for i in range(1, n + 1):
-        diag = row[:-1] + (text != pattern[i - 1])
-        down = row[1:] + 1
-        best, from_ = np.minimum(diag, down), np.where(diag <= down, start[:-1], start[1:])
-        best, from_ = np.concatenate(([i], best)), np.concatenate(([0], from_))
-        slope = best - cols
-        low = np.minimum.accumulate(slope)
-        at = np.maximum.accumulate(np.where(slope == low, cols, 0))
-        row, start = low + cols, from_[at]
-    end = int(row.argmin())
-    return int(row[end]), int(start[end]), end
+    pattern, text = (x.tolist() if isinstance(x, np.ndarray) else x for x in (pattern, text))
+    far, end = min((d, j) for j, d in enumerate(ends(pattern, text, False)))
+    back = list(ends(pattern[::-1], text[:end][::-1], True))
+    return far, end - max(j for j, d in enumerate(back) if d == far), end
 
 
 @dataclass
 class Index:
     items: list[tuple[int | None, np.ndarray]]
+    phrases: list[str]
+    grams: list[np.ndarray]
+    lengths: np.ndarray
+    edits: np.ndarray
+    char_edits: np.ndarray
     vocabulary: dict[str, int]
     bits: np.ndarray
     steps: np.ndarray
     keys: list[np.ndarray]
     windows: list[np.ndarray]
-    walks: np.ndarray
     item_of: np.ndarray
     offset: np.ndarray
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    member: np.ndarray | None = None
-
-    def walk(self, ids: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
-        """The words read in each step, a row for each step."""
-        at, out = at.copy(), np.empty((STEPS, len(at)), np.int32)
-        for j in range(STEPS):
-            out[j] = ids[at]
-            at += self.bits[w, j][out[j]]
-        return out
-
-    def sample(self, read: np.ndarray, w: int, s: int) -> np.ndarray:
-        """A key of the sampled steps; -1 where one of them isn't a passage's word."""
-        key, valid = np.zeros(read.shape[1], np.int64), np.ones(read.shape[1], bool)
-        for j in self.steps[w, s]:
-            valid &= read[j] > 1
-            key = key * 1_000_003 + read[j]
-        return np.where(valid, key & (2**62 - 1), -1)
+    member: np.ndarray
+
+    def sample(self, ids: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
+        """A key of what walk w reads in its sampled steps from each place; -1 if that isn't all passages' words, or too few places."""
+        at, key, valid = at.copy(), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+        places, last = np.ones(len(at), np.int8), None
+        for j in range(self.steps[w][-1] + 1):
+            read = ids[at]
+            if j in self.steps[w]:
+                valid &= read > 1
+                key *= 1_000_003
+                key += read
+                if last is not None:
+                    places += at != last
+                last = at.copy()
+            at += self.bits[w, j][read]
+        return np.where(valid & (places >= DISTINCT), key & (2**62 - 1), -1)
 
 
 def runs(ids: np.ndarray, n: int) -> np.ndarray:
@@ -106,167 +137,184 @@ def runs(ids: np.ndarray, n: int) -> np.ndarray:
     return np.where(valid, key & (2**62 - 1), -1)
 
 
-def short_pieces(items: list[tuple[int | None, np.ndarray]], tolerance: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def short_pieces(items: list[tuple[int | None, np.ndarray]], edits: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: keys, passages and offsets of the pieces of short passages, sorted by key."""
     found: dict[int, list[tuple[int, int, int]]] = {}
     for p, (_, words) in enumerate(items):
         if len(words) < SHORT:
-            n = min(len(words), math.floor(tolerance * len(words)) + 1)
+            n = min(len(words), int(edits[p]) + 1)
             cuts = [len(words) * i // n for i in range(n + 1)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 found.setdefault(b - a, []).append((int(runs(words[a:b], b - a)[0]), p, a))
     return {n: tuple(np.array(x, np.int64) for x in zip(*sorted(rows), strict=True)) for n, rows in found.items()}
 
 
-def build(rows: list[tuple[int | None, str]], tolerance: float = TOLERANCE) -> Index:
+def build(rows: list[tuple[int | None, str]], tolerance: float = TOLERANCE, char_tolerance: float = CHAR_TOLERANCE) -> Index:
     """An index of passages; ids: 0 ends a text, 1 is any word that no passage has."""
     vocabulary: dict[str, int] = {}
-    items = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(t)], np.int32)) for i, t in rows]
-    items = [x for x in items if len(x[1])]
-    r = np.random.default_rng(SEED)
-    bits = r.integers(0, 2, (WALKS, STEPS, len(vocabulary) + 2)).astype(np.int64)
+    split = [(i, w) for i, t in rows if (w := words_of(t))]
+    items = [(i, np.array([vocabulary.setdefault(x, len(vocabulary) + 2) for x in w], np.int32)) for i, w in split]
+    phrases = [" ".join(w) for _, w in split]
+    lengths = np.array([len(x) for _, x in items], np.int64)
+    edits, char_edits = np.floor(tolerance * lengths + 1e-9).astype(np.int64), np.array([math.floor(char_tolerance * len(x) + 1e-9) for x in phrases], np.int64)
+    r, v = np.random.default_rng(SEED), len(vocabulary) + 2
+    bits = r.integers(0, 2, (WALKS, STEPS, v)).astype(np.int64)
     bits[:, :, 0] = 0
-    steps = np.array([[np.sort(r.choice(STEPS, SAMPLED, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
-    index = Index(items, vocabulary, bits, steps, [], [], np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), short_pieces(items, tolerance))
+    steps = np.array([np.append(0, 1 + np.sort(r.choice(STEPS - 1, SAMPLED - 1, replace=False))) for _ in range(WALKS)])
+    none = np.zeros(0, np.int64)
+    index = Index(items, phrases, [np.unique(grams_of(x)) for x in phrases], lengths, edits, char_edits, vocabulary, bits, steps, [], [], none, none, short_pieces(items, edits), none)
     if not items:
         return index
-    ends = np.zeros(STEPS, np.int32)
-    flat = np.concatenate([np.concatenate((x, ends)) for _, x in items])
-    lengths = np.array([len(x) for _, x in items])
+    flat = np.concatenate([np.concatenate((x, np.zeros(STEPS, np.int32))) for _, x in items])
     index.item_of = np.repeat(np.arange(len(items)), lengths)
     index.offset = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     at = index.offset + np.repeat(np.cumsum(lengths + STEPS) - lengths - STEPS, lengths)
-    index.walks = np.stack([index.walk(flat, at, w) for w in range(WALKS)])
+    index.member = np.unique(index.item_of * v + flat[at])
     for w in range(WALKS):
-        for s in range(SAMPLES):
-            key = index.sample(index.walks[w], w, s)
-            order = np.argsort(key, kind="stable")
-            order = order[np.searchsorted(key[order], 0) :]
-            index.keys.append(key[order])
-            index.windows.append(order)
+        key = index.sample(flat, at, w)
+        order = np.argsort(key, kind="stable")
+        order = order[np.searchsorted(key[order], 0) :]
+        index.keys.append(key[order])
+        index.windows.append(order)
     return index
 
 
-def _near(index: Index, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, passage) pairs proposed by the tables for windows at `at`; the place is where the passage would begin."""
+def _meet(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) with key[i] == keys[j] of the sorted keys."""
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    hit = np.flatnonzero(high > low)
+    n = (high - low)[hit]
+    return np.repeat(hit, n), np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _near(index: Index, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, passage) pairs proposed for the words at `first`; the place is where the passage would begin."""
     places, passages = [], []
+    known = first[ids[first] > 1]
     for w in range(WALKS):
-        read = index.walk(ids, at, w)
-        for s in range(SAMPLES):
-            keys, order = index.keys[w * SAMPLES + s], index.windows[w * SAMPLES + s]
-            key = index.sample(read, w, s)
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            hit = np.flatnonzero(high > low)
-            n = (high - low)[hit]
-            which = order[np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            hit = np.repeat(hit, n)
-            mine = read[:, hit]
-            agree = ((mine == index.walks[w][:, which]) & (mine > 1)).sum(axis=0) >= np.minimum(MIN_AGREE, np.maximum(SAMPLED, index_room(index, which)))
-            places.append(at[hit[agree]] - index.offset[which[agree]])
-            passages.append(index.item_of[which[agree]])
+        key = index.sample(ids, known, w)
+        use = np.flatnonzero(key >= 0)
+        i, j = _meet(index.keys[w], key[use])
+        which = index.windows[w][j]
+        places.append(known[use[i]] - index.offset[which])
+        passages.append(index.item_of[which])
+    for n, (keys, of, offset) in index.pieces.items():
+        if len(ids) >= n:
+            key = runs(ids, n)
+            own = first[first < len(key)]
+            i, j = _meet(keys, key[own])
+            places.append(own[i] - offset[j])
+            passages.append(of[j])
     return np.concatenate(places), np.concatenate(passages)
 
 
-def index_room(index: Index, which: np.ndarray) -> np.ndarray:
-    """Words from a window's start to its passage's end: short rests can't agree in many steps."""
-    lengths = np.array([len(x) for _, x in index.items])
-    return lengths[index.item_of[which]] - index.offset[which]
-
-
-def match(index: Index, texts: list[str], tolerance: float = TOLERANCE) -> list[list[dict]]:
+def match(index: Index, texts: list[str]) -> list[list[dict]]:
     """For each text the passages it holds."""
     out: list[list[dict]] = [[] for _ in texts]
     if not index.items:
         return out
-    get = index.vocabulary.get
-    docs = [[get(w, 1) for w in words_of(t)] for t in texts]
-    ends = [0] * STEPS
-    lengths = np.array([len(d) for d in docs])
-    flat = np.array([x for d in docs for x in (*d, *ends)], np.int32)
+    words, gap = [words_of(t) for t in texts], [0] * STEPS
+    lengths = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter(chain.from_iterable(chain(map(index.vocabulary.get, w, repeat(1)), gap) for w in words), np.int32, lengths.sum() + len(words) * STEPS)
     starts = np.cumsum(lengths + STEPS) - lengths - STEPS
-    within = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    first = at = within + np.repeat(starts, lengths)
-    known = np.concatenate(([0], np.cumsum(flat > 1)))
-    in_window = known[np.minimum(at + WINDOW, len(flat))] - known[at]
-    use = (in_window >= MIN_KNOWN) & (within % STRIDE == 0)
-    at = at[use]
-    places, passages = _near(index, flat, at) if len(at) else (at, at)
-    for n, (keys, of, offset) in index.pieces.items():
-        if len(first) and len(flat) >= n:
-            key = runs(flat, n)
-            key = key[first[first < len(key)]]
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            hit = np.flatnonzero(high > low)
-            m = (high - low)[hit]
-            which = np.repeat(low[hit], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            places = np.concatenate((places, first[np.repeat(hit, m)] - offset[which]))
-            passages = np.concatenate((passages, of[which]))
+    first = np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+    places, passages = _near(index, flat, first) if len(first) else (first, first)
     if not len(places):
         return out
-    lengths_of = np.array([len(x) for _, x in index.items])
-    edits_of = np.floor(tolerance * lengths_of).astype(np.int64)
+    reach = np.maximum(1, index.edits)
     # a place before its text's first word lies in the gap before it, or in the text before: try both texts
-    doc, ahead = (np.searchsorted(starts, x, "right") - 1 for x in (places, places + np.maximum(1, edits_of[passages])))
+    doc, ahead = (np.searchsorted(starts, x, "right") - 1 for x in (places, places + reach[passages]))
     other = ahead != doc
     seen = np.stack((np.append(doc, ahead[other]), np.append(passages, passages[other]), np.append(places, places[other])), axis=1)
     seen = seen[seen[:, 0] >= 0]
-    order = np.lexsort((seen[:, 2], seen[:, 1], seen[:, 0]))
-    seen = seen[order]
-    seen = seen[np.append(True, (seen[1:] != seen[:-1]).any(axis=1))] if len(seen) else seen
-    seen = seen[_enough(index, flat, starts, lengths, seen, lengths_of, edits_of)]
+    seen = seen[np.lexsort((seen[:, 2], seen[:, 1], seen[:, 0]))]
+    if len(seen):
+        seen = seen[np.append(True, (seen[1:] != seen[:-1]).any(axis=1))]
+        held = _held(index, flat, starts, lengths, seen)
+        enough = held >= index.lengths[seen[:, 1]] - index.edits[seen[:, 1]]
+        seen = np.column_stack((seen, enough))[enough | (index.char_edits[seen[:, 1]] > 0)]
+    else:
+        seen = np.zeros((0, 4), np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    covered: dict[tuple[int, int], int] = {}
-    for d, p, place in seen.tolist():
-        if d < 0:
+    by_chars: dict[tuple[int, int], tuple[int, int, int]] = {}
+    covered: dict[tuple[int, int, int], int] = {}
+    letters: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # 3-grams of a text's words, and where each word begins
+    for d, p, place, enough in seen.tolist():
+        pair, pattern, edits = (d, p), index.items[p][1], int(index.edits[p])
+        n, begin = len(pattern), int(starts[d])
+        old, size = best.get(pair), int(lengths[d])
+        if old is not None and (old[0] == 0 or not enough) or place < covered.get((d, p, enough), -STEPS - n):
             continue
-        pattern = index.items[p][1]
-        n, edits = len(pattern), math.floor(tolerance * len(pattern))
-        begin, end = int(starts[d]), int(starts[d] + lengths[d])
-        old = best.get((d, p))
-        if begin <= place and place + n <= end and (old is None or old[0] > 0) and np.array_equal(flat[place : place + n], pattern):
-            best[d, p] = (0, place - begin, place - begin + n)
+        at = place - begin
+        if 0 <= at and at + n <= size and (flat[place : place + n] == pattern).all():
+            best[pair] = (0, at, at + n)
             continue
-        if old is not None and old[0] == 0 or place < covered.get((d, p), -1):
+        covered[d, p, enough] = place + max(1, edits)
+        low = min(size, max(0, at - 2 * edits - 2))
+        high = max(low, min(size, at + n + 4 * edits + 3))
+        if enough:
+            far, a, b = nearest(pattern, flat[begin + low : begin + high])
+            if far <= edits:
+                best[pair] = min(old or (far, low + a, low + b), (far, low + a, low + b))
+        if pair in best or not index.char_edits[p]:
             continue
-        low, high = max(begin, place - 2 * edits), min(end, place + n + 2 * edits)
-        covered[d, p] = place + max(1, edits)
-        if high - low < n - edits:
-            continue
-        region = flat[low:high]
-        far, a, b = nearest(pattern, region)
-        found = (far, low - begin + a, low - begin + b)
-        if far <= edits and (old is None or found < old):
-            best[d, p] = found
-    for (d, p), (far, a, b) in sorted(best.items()):
-        out[d].append({"item_id": index.items[p][0], "start_word": a, "end_word": b, "distance": far, "n_words": len(index.items[p][1])})
+        if d not in letters:
+            letters[d] = grams_of(" ".join(words[d])), np.cumsum([0, *map(len, words[d])]) + np.arange(size + 1)
+        grams, begins = letters[d]
+        if found := _by_chars(words[d][low:high], grams[begins[low] : max(0, begins[high] - 3)], index, p):
+            found = (found[0], low + found[1], low + found[2])
+            by_chars[pair] = min(by_chars.get(pair, found), found)
+    rows = {k: (far, None, a, b) for k, (far, a, b) in best.items()} | {k: (None, far, a, b) for k, (far, a, b) in by_chars.items() if k not in best}
+    for (d, p), (far, chars, a, b) in sorted(rows.items()):
+        out[d].append({"item_id": index.items[p][0], "start_word": a, "end_word": b, "distance": far, "char_distance": chars, "n_words": len(index.items[p][1])})
     return out
 
 
-def _enough(index: Index, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seen: np.ndarray, lengths_of: np.ndarray, edits_of: np.ndarray) -> np.ndarray:
-    """Whether the region about each (text, passage, place) holds as many words of the passage as a match needs."""
-    if index.member is None:
-        member = np.zeros((len(index.items), len(index.vocabulary) + 2), bool)
-        for p, (_, words) in enumerate(index.items):
-            member[p, words] = True
-        index.member = member
-    out = np.zeros(len(seen), bool)
+def grams_of(text: str) -> np.ndarray:
+    """The 3-grams of a text's characters as integers."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    return x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+
+
+def _by_chars(words: list[str], grams: np.ndarray, index: Index, p: int) -> tuple[int, int, int] | None:
+    """(distance, first word, end word) of the passage's nearest place in the words, if few enough characters differ.
+
+    An edit touches three 3-grams at most, so any such place has all but three for each edit, and is as long but for the edits.
+    """
+    phrase, own, most = index.phrases[p], index.grams[p], int(index.char_edits[p])
+    least, size = len(phrase) - 2 - 3 * most, len(phrase) + most - 2
+    if least > 0:
+        count = np.concatenate(([0], np.cumsum(own[np.minimum(np.searchsorted(own, grams), len(own) - 1)] == grams)))
+        if (count[size:] - count[:-size] if len(count) > size else count[-1:]).max() < least:
+            return None
+    text = " ".join(words)
+    if min(ends(phrase, text, False)) > most:
+        return None
+    far, a, b = nearest(phrase, text)
+    return far, text.count(" ", 0, a), text.count(" ", 0, max(a, b - 1)) + 1
+
+
+def _held(index: Index, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How many words of the passage the region about each (text, passage, place) holds."""
+    out, v = np.zeros(len(seen), np.int64), len(index.vocabulary) + 2
     for at in range(0, len(seen), COUNTED):
         d, p, place = seen[at : at + COUNTED].T
-        n, e = lengths_of[p], edits_of[p]
-        low, high = np.maximum(starts[d], place - 2 * e), np.minimum(starts[d] + lengths[d], place + n + 2 * e)
+        n, e = index.lengths[p], index.edits[p]
+        low, high = np.maximum(starts[d], place - 2 * e - 2), np.minimum(starts[d] + lengths[d], place + n + 2 * e + 2)
         size = np.maximum(high - low, 0)
         first = np.cumsum(size) - size
-        rows = np.repeat(np.arange(len(p)), size)
-        hit = np.concatenate(([0], np.cumsum(index.member[p[rows], flat[np.repeat(low - first, size) + np.arange(size.sum())]])))
-        out[at : at + COUNTED] = hit[first + size] - hit[first] >= n - e
+        code = np.repeat(p, size) * v + flat[np.repeat(low - first, size) + np.arange(size.sum())]
+        found = np.searchsorted(index.member, code)
+        hit = np.concatenate(([0], np.cumsum(index.member[np.minimum(found, len(index.member) - 1)] == code)))
+        out[at : at + COUNTED] = hit[first + size] - hit[first]
     return out
 
 
-MATCHES = "array<struct<item_id:long,start_word:int,end_word:int,distance:int,n_words:int>>"
+MATCHES = "array<struct<item_id:long,start_word:int,end_word:int,distance:int,char_distance:int,n_words:int>>"
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, text: str = "text", item_text: str = "text") -> DataFrame:
-    """docs with the column passages: for each passage of the benchmark that a document holds, where and how near."""
+def find_passages(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLERANCE, char_tolerance: float = CHAR_TOLERANCE, text: str = "text", item_text: str = "text", to: str = "passages") -> DataFrame:
+    """docs with the column `to`: for each passage of the benchmark that a document holds, where and how near."""
     spark = docs.sparkSession
     prepare(spark)
     rows = benchmark.select("item_id", text_or_empty(item_text).alias("t"))
@@ -275,15 +323,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLE
     out = docs.withColumn("__kw_passages", F.array().cast(MATCHES))
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n)) == k).orderBy("item_id", "t").collect()
-        index = spark.sparkContext.broadcast(build([(r["item_id"], r["t"]) for r in block], tolerance))
+        index = spark.sparkContext.broadcast(build([(r["item_id"], r["t"]) for r in block], tolerance, char_tolerance))
 
         def column(shared):
             @pandas_udf(MATCHES)
             def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 for batch in batches:
-                    yield pd.Series(match(shared.value, batch.tolist(), tolerance), dtype=object)
+                    yield pd.Series(match(shared.value, batch.tolist()), dtype=object)
 
             return find(text_or_empty(text))
 
         out = out.withColumn("__kw_passages", F.concat("__kw_passages", column(index)))
-    return out.drop("passages").withColumnRenamed("__kw_passages", "passages")
+        if k % CHAIN == CHAIN - 1 and k < n - 1:
+            out = checkpoint(out)
+    return out.drop(to).withColumnRenamed("__kw_passages", to)
