@@ -8,8 +8,11 @@ vocabulary, an ordered aggregation lines up their bytes, and the texts' numbers
 Words beyond LONG_WORD bytes would make the recursive query's rows grow with the square of their length; the same
 merges are then made in a heap. Results are the same.
 
-Defined cases: a null text is empty; an empty text has no ids and decodes to no bytes; tokens not in the vocabulary
-raise an error; other columns are kept. Batches hold few rows, and the cache of encoded words is bounded.
+Texts split as in the library, whose Unicode tables may be of another version than those here.
+
+Defined cases: a null text is empty; an empty text has no ids and decodes to no bytes; an empty table gives an empty
+result; repeated rows give repeated rows; texts of any length are encoded whole; tokens not in the vocabulary raise an
+error; other columns are kept, columns named like the outputs are replaced. Batches hold few rows, and the cache of encoded words is bounded.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import prepare, text_or_empty
+from kinweave.llm.common import fresh, prepare, text_or_empty
 
 LONG_WORD = 256
 #: Encoded words that a Python worker keeps in each of two generations, each of at most KEEP_CHARS characters.
@@ -77,6 +81,31 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
     return None if r"\p" in pattern else re.compile(pattern)
 
 
+def _ranges(chars: set[str]) -> str:
+    """The characters as ranges for a set in a pattern."""
+    codes = np.array(sorted(map(ord, chars)))
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(codes[[0, *(cuts + 1)]].tolist(), codes[[*cuts, -1]].tolist(), strict=True)) if len(codes) else ""
+
+
+@lru_cache(maxsize=4)
+def as_library(pattern: str) -> tuple[str, str]:
+    """The characters that are letters or numbers either here or in the library alone, and the pattern with the library's own.
+
+    The two know different versions of Unicode. The library is asked once about every character.
+    """
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    odd: set[str] = set()
+    for name in (r"\p{L}", r"\p{N}"):
+        if name in pattern:
+            own = tiktoken.Encoding(name, pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            theirs = set(own.decode(own.encode_ordinary(every)))
+            odd |= theirs ^ set(regex.findall(name, every))
+            held = _ranges(theirs)
+            pattern = regex.sub(r"\[[^\]]*\]", lambda m: m[0].replace(name, held), pattern).replace(name, f"[{held}]")  # noqa: B023
+    return _ranges(odd), pattern
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -85,13 +114,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Coder:
     """Encodes and decodes batches of texts by a file of ranks."""
 
-    def __init__(self, path: str, pattern: str) -> None:
-        self.ranks, self.split, self.split_plain = read_ranks(path), regex.compile(pattern), plain_pattern(pattern)
+    def __init__(self, path: str, pattern: str, library: tuple[str, str] | None = None) -> None:
+        odd, exact = library or as_library(pattern)
+        self.ranks, self.split, self.split_plain, self.split_exact = read_ranks(path), regex.compile(pattern), plain_pattern(pattern), regex.compile(exact)
+        self.odd = re.compile(f"[{odd}]") if odd else None
+        self.spill = tempfile.TemporaryDirectory(prefix="kinweave-bpe-")  # of this process alone, gone with it
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.single = np.array([self.ranks[bytes([x])] for x in range(256)], np.int64)
         rows = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.mkdtemp()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": self.spill.name})
         self.db.execute("SET allocator_flush_threshold = '1MB'; SET allocator_bulk_deallocation_flush_threshold = '1MB'")  # memory goes back between queries
         self._table("m", {"ab": pa.array([x[0] for x in rows], pa.int64()), "rank": pa.array([x[1] for x in rows], pa.int32())}, "merges")
         self._table("v", {"t": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())}, "vocabulary")
@@ -157,7 +189,7 @@ class Coder:
         pieces = []
         for text in texts:
             plain = self.split_plain and PLAIN.fullmatch(text)
-            found = (self.split_plain if plain else self.split).findall(text)
+            found = (self.split_plain if plain else self.split_exact if self.odd and self.odd.search(text) else self.split).findall(text)
             pieces.append(list(map(seen.setdefault, found, found)))  # one object for each distinct word
         kept, older = self.kept, self.older
         look, again, new = {}, {}, []
@@ -189,26 +221,28 @@ class Coder:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+def coder(path: str, pattern: str, library: tuple[str, str]) -> Coder:
+    return Coder(path, pattern, library)
 
 
 def encode_column(path: str, pattern: str, text: str = "text") -> Column:
     """The ids of a text as little-endian unsigned 32-bit integers."""
+    library = as_library(pattern)
 
     @pandas_udf("binary")
     def encode(batch: pd.Series) -> pd.Series:
-        return pd.Series(coder(path, pattern).encode(batch.tolist()), dtype=object)
+        return pd.Series(coder(path, pattern, library).encode(batch.tolist()), dtype=object)
 
     return encode(text_or_empty(text))
 
 
 def decode_column(path: str, pattern: str, ids: str = "ids") -> Column:
     """The bytes that ids, as encode_column gives them, stand for; null ids are none."""
+    library = as_library(pattern)
 
     @pandas_udf("binary")
     def decode(batch: pd.Series) -> pd.Series:
-        return pd.Series(coder(path, pattern).decode([x or b"" for x in batch]), dtype=object)
+        return pd.Series(coder(path, pattern, library).decode([x or b"" for x in batch]), dtype=object)
 
     return decode(F.col(ids))
 
@@ -229,10 +263,11 @@ def gathered(batches: Iterator[pd.Series], chars: int) -> Iterator[list[pd.Serie
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with the columns ids and decoded, both binary; columns of these names are replaced."""
     prepare(docs.sparkSession)
+    library, both_name = as_library(pattern), fresh(docs, "__kw_coded")
 
     @pandas_udf("struct<ids:binary,decoded:binary>")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = coder(path, pattern)
+        own = coder(path, pattern, library)
         for group in gathered(batches, GATHER_CHARS):
             ids = own.encode([t for batch in group for t in batch])
             at = 0
@@ -241,8 +276,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "tex
                 at += len(batch)
                 yield pd.DataFrame({"ids": part, "decoded": own.decode(part)})
 
-    out = docs.withColumn("__kw_coded", both(text_or_empty(text)))
-    return out.withColumns({"ids": F.col("__kw_coded.ids"), "decoded": F.col("__kw_coded.decoded")}).drop("__kw_coded")
+    out = docs.withColumn(both_name, both(text_or_empty(text)))
+    return out.withColumns({"ids": F.col(f"{both_name}.ids"), "decoded": F.col(f"{both_name}.decoded")}).drop(both_name)
 
 
 def id_list(ids: bytes) -> list[int]:

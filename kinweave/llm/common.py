@@ -10,16 +10,17 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts can be very long, so batches hold few rows.
-BATCH_ROWS = 256
+#: Rows and bytes in an Arrow batch at most. Texts can be very long, so batches hold few rows; one long text is a batch.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Give the executors this package, and bound Arrow batches to BATCH_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Give the executors this package, and bound Arrow batches. The bounds hold for the session, since plans read them late."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows, "10000")) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -41,12 +42,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir, with its scheme; a folder of our own where none is named, which only a local session may have."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="kinweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base else "file://" + os.path.abspath(base)
+    path = _path(spark, base)
+    full = _files(spark, path).makeQualified(path).toString().rstrip("/")
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def _path(spark: SparkSession, folder: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+
+
+def _files(spark: SparkSession, path):
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path = _path(spark, folder)
+    _files(spark, path).mkdirs(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = _path(spark, folder)
+    _files(spark, path).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

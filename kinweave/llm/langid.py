@@ -9,7 +9,8 @@ Many languages share MOST evenly; what the rare ones leave goes to the others.
 
 Defined cases: a null text, or one without letters, is `und`, has score 0 and is rejected; without any labelled text
 every language is `und`; ties go to the language that sorts first; rows without a label or whose doc_id is null are
-never learned from; an empty table gives an empty result; other columns are kept.
+never learned from; repeated rows are learned from and judged as often as they stand; texts of any length count whole; an
+empty table gives an empty result; other columns are kept by judge, and by identify but for those named like its outputs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import prepare, text_or_empty
+from kinweave.llm.common import fresh, prepare, text_or_empty
 
 BITS = 12
 CENTROIDS, PER_LANGUAGE, MOST = 3, 400, 4000
@@ -144,8 +145,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     return fit_rows([(r["lang"], np.frombuffer(r["v"], np.float32)) for r in rows])
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected."""
+def judge(docs: DataFrame, model: Model, to: str, text: str = "text") -> DataFrame:
+    """docs with the struct column `to` of lang, score and rejected."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and CENTROIDS
 
@@ -155,5 +156,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, score, reject = shared.value.predict(batch.tolist())
             yield pd.DataFrame({"lang": names, "score": score, "rejected": reject})
 
-    out = docs.withColumn("__kw_lang", predict(text_or_empty(text)))
-    return out.withColumns({"lang_pred": F.col("__kw_lang.lang"), "score": F.col("__kw_lang.score"), "rejected": F.col("__kw_lang.rejected")}).drop("__kw_lang")
+    return docs.withColumn(to, predict(text_or_empty(text)))
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score and rejected, which replace columns of these names."""
+    to = fresh(docs, "__kw_lang")
+    out = judge(docs, model, to, text)
+    return out.withColumns({"lang_pred": F.col(f"{to}.lang"), "score": F.col(f"{to}.score"), "rejected": F.col(f"{to}.rejected")}).drop(to)

@@ -6,6 +6,8 @@ merged, which bridges inserted and missing words, and a span stands if it meets
 match is verified by its words before it votes, so a span never rests on a collision of hashes. Phrases vote with runs
 of two words, and must be met in full; license texts vote with runs of LONG_RUN words.
 
+Only A-Z are lower-cased.
+
 Defined cases: null texts are empty, have no words, and null first and last places; repeated rows give repeated rows;
 a null doc_id is a key like any other; an empty table gives an empty result; other columns are ignored.
 
@@ -16,6 +18,7 @@ document and diagonal; a text of any length adds one row for each diagonal on wh
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,7 +75,7 @@ def matches(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_words, template, diagonal, votes, copies), with a row of template -1 for each document."""
     prepare(docs.sparkSession)
     content = text_or_empty(text)
-    found_words = F.regexp_extract_all(F.lower(content), F.lit(f"({WORD})"), F.lit(1))
+    found_words = F.regexp_extract_all(F.translate(content, string.ascii_uppercase, string.ascii_lowercase), F.lit(f"({WORD})"), F.lit(1))
 
     def hashes(words, k: int):
         n = F.size(words) - (k - 1)

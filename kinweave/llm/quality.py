@@ -5,8 +5,9 @@ vote patterns estimates each labeller's accuracies and the share of good texts,
 a text's pattern is its label; the labels of a bounded sample of texts, chosen by a hash, train a linear scorer of
 hashed features, which scores every text.
 
-Defined cases: a null text is empty; a text without words gets no votes and the score that its features give; an empty
-table gives an empty result; other columns are kept, columns named like the outputs are replaced.
+Defined cases: a null text is empty; a text without words gets no votes and the score that its features give;
+repeated texts count as often as they stand in the patterns, train the scorer once and are all scored; texts of any length
+count whole; an empty table gives an empty result; other columns are kept, columns named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import prepare, text_or_empty
+from kinweave.llm.common import fresh, prepare, text_or_empty
 
 BITS = 12
 #: Texts that train the scorer, at most; half of them from either side of the posterior where there are enough.
@@ -191,5 +192,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_from: float =
             x = np.stack([features(t, m) for t, m in zip(batch, seen, strict=True)]) if len(batch) else np.zeros((0, 1 << BITS), np.float32)
             yield pd.DataFrame({"score": shared.value.scores(x).astype(float), "weak": [shared.value.weak.get(votes(m), 0.5) for m in seen]})
 
-    out = docs.withColumn("__kw_quality", of(text_or_empty(text)))
-    return out.withColumns({"score": F.col("__kw_quality.score"), "weak_posterior": F.col("__kw_quality.weak"), "keep": F.col("__kw_quality.score") >= keep_from}).drop("__kw_quality")
+    to = fresh(docs, "__kw_quality")
+    out = docs.withColumn(to, of(text_or_empty(text)))
+    return out.withColumns({"score": F.col(f"{to}.score"), "weak_posterior": F.col(f"{to}.weak"), "keep": F.col(f"{to}.score") >= keep_from}).drop(to)

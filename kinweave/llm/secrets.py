@@ -5,7 +5,8 @@ agrees, jwt only if its header is JSON that names an algorithm, pem is a private
 the matching last line or, without one, through the base64 lines that follow. Runs of hex
 digits have no keyword; they are scanned for directly. Matches of a kind don't overlap, the leftmost comes first.
 
-Defined cases: a null text is empty and has no secrets; offsets are code points, the end is exclusive; an empty table
+Defined cases: a null text is empty and has no secrets, and stays null when redacted; repeated rows give repeated rows;
+texts of any length are scanned whole; offsets are code points, the end is exclusive; an empty table
 gives an empty result; other columns are kept, columns named like the output are replaced.
 """
 

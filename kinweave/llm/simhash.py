@@ -1,23 +1,24 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-Every text gets a 64-bit fingerprint of its word shingles. The distinct fingerprints form a binary trie;
-it is cut at a depth that follows from their number, and each pair of subtries whose prefixes differ in few
-enough bits is one row that a task traverses: two nodes are followed together, differing bits add up, and a
-pair of nodes over the budget is left at once. A task returns a spanning forest of the links it found, never
-all pairs of a group, and components are then found by alternating star contractions.
+Every text gets a 64-bit fingerprint of its word shingles. The distinct fingerprints form a binary trie; a self-join
+follows two of its nodes together, adds up differing bits and leaves a pair of nodes over the budget at once. To deal
+the trie to tasks, the 64 bits are cut into parts: fingerprints within the budget agree on all but `budget` of the
+parts, so for each choice of that many parts those that agree there are a subtrie of their own, joined with itself.
+There are as few parts as keep an even subtrie within BLOCK fingerprints. A task returns a spanning forest of the links
+it found, never all pairs of a group, and components are then found by alternating star contractions.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; rows with
 equal texts have equal fingerprints and one component; a null doc_id never is a component id, and a component of
-rows without ids has a null id; an empty table gives an empty result; other columns are ignored.
+rows without ids has a null id; texts of any length count whole; an empty table gives an empty result; other columns
+are ignored, and keep_one keeps them as they are.
 
-Scale: a document contributes 16 bytes to the shuffles. Fingerprints within a few bits of each other are bounded in
-number by the size of a Hamming ball, whatever the number of near copies; subtries beyond BLOCK fingerprints are
-dealt in chunks, so no task needs more than two chunks in memory.
+Scale: a fingerprint is shuffled once for each choice of parts: 5 times up to 2**27 fingerprints, 15 times up to 2**35
+and 35 times up to 2**41. Subtries beyond 2 * BLOCK fingerprints are dealt in chunks, so no task needs more than two
+chunks in memory; keys with more than SPLIT rows are dealt over several tasks in joins.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import checkpoint, prepare, text_or_empty
+from kinweave.llm.common import checkpoint, fresh, prepare, text_or_empty
 
 WORDS, SEED, BUDGET = 4, 42, 4
-#: Fingerprints in a block, and the deepest cut of the trie.
-BLOCK, DEEPEST = 8192, 16
-#: Node pairs handled at once, and pairs of fingerprints below which a node pair is a leaf.
-CHUNK, LEAF = 200_000, 16
+#: Fingerprints in a subtrie or a chunk of one, and fingerprints gathered before they are joined.
+BLOCK, GATHER = 16_384, 100_000
+#: Node pairs handled at once, pairs of fingerprints below which a node pair is a leaf, and pairs compared at once.
+CHUNK, LEAF, COMPARED = 200_000, 256, 2_000_000
+#: Rows of a key in one task of a join, and keys beyond that many rows that are broadcast.
+SPLIT, MOST_BROADCAST = 1024, 1_000_000
 
 
 def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -68,53 +71,45 @@ def fingerprint_column(text: str = "text", words: int = WORDS, seed: int = SEED)
     return of(text_or_empty(text).cast("binary"))
 
 
-def trie_pairs(a: np.ndarray, b: np.ndarray, same: bool, bit: int, budget: int, spent: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of the sorted, distinct a and b that differ in budget bits at most, in chunks.
+def trie_pairs(x: np.ndarray, roots: tuple[np.ndarray, ...], bit: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of x that differ in budget bits at most, in chunks, from pairs of nodes followed together.
 
-    The values of a agree above bit, and so do those of b; spent of the budget's bits differ there. If same, a is b and
-    each pair comes once.
+    roots are (al, ah, bl, bh): of each pair the ranges x[al:ah] and x[bl:bh], sorted, distinct and alike above bit. A
+    node beside itself gives each pair once.
     """
-
-    def zeros(x: np.ndarray, k: int) -> np.ndarray:
-        return np.concatenate(([0], np.cumsum((x >> np.uint64(k)) & np.uint64(1) == 0)))
-
-    za: dict[int, np.ndarray] = {}
-    zb: dict[int, np.ndarray] = {}
-    first = tuple(np.array([x], np.int64) for x in (0, len(a), 0, len(b), budget - spent))
-    stack = [(bit, first)]
+    zeros: dict[int, np.ndarray] = {}
+    stack = [(bit, (*(r.astype(np.int64) for r in roots), np.full(len(roots[0]), budget)))]
     while stack:
         k, nodes = stack.pop()
         al, ah, bl, bh, left = nodes
         if len(al) > CHUNK:
-            stack += [(k, tuple(x[at : at + CHUNK] for x in nodes)) for at in range(0, len(al), CHUNK)]
+            stack += [(k, tuple(n[at : at + CHUNK] for n in nodes)) for at in range(0, len(al), CHUNK)]
             continue
         size = (ah - al) * (bh - bl)
         leaf = (size <= LEAF) | (k < 0)
         if leaf.any():
-            s, la, lb, wide = size[leaf], al[leaf], bl[leaf], (bh - bl)[leaf]
-            within = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-            wide = np.repeat(wide, s)
-            i, j = np.repeat(la, s) + within // wide, np.repeat(lb, s) + within % wide
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            if same:
-                near &= i < j
-            if near.any():
-                yield i[near], j[near]
-            rest = ~leaf
-            al, ah, bl, bh, left = (x[rest] for x in nodes)
+            whole, la, lb, wide = size[leaf], al[leaf], bl[leaf], (bh - bl)[leaf]
+            cuts = np.flatnonzero(np.diff(np.cumsum(whole) // COMPARED)) + 1
+            for n, pa, pb, w in zip(*(np.split(v, cuts) for v in (whole, la, lb, wide)), strict=True):
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                w = np.repeat(w, n)
+                i, j = np.repeat(pa, n) + within // w, np.repeat(pb, n) + within % w
+                near = (np.bitwise_count(x[i] ^ x[j]) <= budget) & ((i < j) | (np.repeat(pa != pb, n)))
+                if near.any():
+                    yield i[near], j[near]
+            al, ah, bl, bh, left = (n[~leaf] for n in nodes)
         if not len(al):
             continue
-        if k not in za:
-            za[k] = zeros(a, k)
-            zb[k] = za[k] if same else zeros(b, k)
-        am, bm = al + za[k][ah] - za[k][al], bl + zb[k][bh] - zb[k][bl]
+        if k not in zeros:
+            zeros[k] = np.concatenate(([0], np.cumsum((x >> np.uint64(k)) & np.uint64(1) == 0)))
+        z = zeros[k]
+        am, bm = al + z[ah] - z[al], bl + z[bh] - z[bl]
         one = np.ones(len(al), bool)
-        twice = (al == bl) if same else ~one  # a node beside itself: of its two mixed pairs, one is enough
         parts = []
-        for xl, xh, yl, yh, cost, use in ((al, am, bl, bm, 0, one), (am, ah, bm, bh, 0, one), (al, am, bm, bh, 1, one), (am, ah, bl, bm, 1, ~twice)):
+        for xl, xh, yl, yh, cost, use in ((al, am, bl, bm, 0, one), (am, ah, bm, bh, 0, one), (al, am, bm, bh, 1, one), (am, ah, bl, bm, 1, al != bl)):  # a node beside itself: of its two mixed pairs, one is enough
             keep = use & (xh > xl) & (yh > yl) & (left >= cost)
             parts.append((xl[keep], xh[keep], yl[keep], yh[keep], left[keep] - cost))
-        stack.append((k - 1, tuple(np.concatenate(x) for x in zip(*parts, strict=True))))
+        stack.append((k - 1, tuple(np.concatenate(n) for n in zip(*parts, strict=True))))
 
 
 def link(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -130,35 +125,82 @@ def link(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _forest(blocks: Iterator[pd.DataFrame], depth: int, budget: int) -> Iterator[pd.DataFrame]:
-    for frame in blocks:
-        for pa, pb, ca, cb, xa, xb in zip(frame["pa"], frame["pb"], frame["ca"], frame["cb"], frame["xa"], frame["xb"], strict=True):
-            a, b = (np.sort(np.asarray(x, np.int64).view(np.uint64)) for x in (xa, xb))
-            same = pa == pb and ca == cb
-            both = a if same else np.concatenate((a, b))
-            parent = np.arange(len(both))
-            for i, j in trie_pairs(a, b, same, 63 - depth, budget, (int(pa) ^ int(pb)).bit_count()):
-                parent = link(parent, i, j if same else j + len(a))
-            child = np.flatnonzero(parent != np.arange(len(both)))
-            yield pd.DataFrame({"u": both[child].view(np.int64), "v": both[parent[child]].view(np.int64)})
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of GATHER rows or more, sorted by keys, that cut no group of equal keys."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= GATHER:
+            rows = pd.concat(held, ignore_index=True)
+            last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(rows) - int(np.argmin(last[::-1])) if not last.all() else 0
+            if cut:
+                yield rows[:cut]
+            held = [rows[cut:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _forest(frames: Iterator[pd.DataFrame], keys: list[str], budget: int, sided: bool) -> Iterator[pd.DataFrame]:
+    """A spanning forest of the links within each group of equal keys; sided: if a group has two sides, those between them."""
+    for rows in _whole_groups(frames, keys):
+        x, group = rows["fp"].to_numpy().view(np.uint64), np.cumsum(np.append(True, (rows[keys].to_numpy()[1:] != rows[keys].to_numpy()[:-1]).any(axis=1)))
+        side = rows["side"].to_numpy() if sided else np.zeros(len(x), np.int64)
+        order = np.lexsort((x, side, group))
+        x, group, side = x[order], group[order], side[order]
+        first = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])))
+        last = np.append(first[1:], len(x))
+        mixed = np.append(group[first][1:] == group[first][:-1], False)  # its group's other side follows
+        alone = ~mixed & ~np.append(False, mixed[:-1])
+        roots = tuple(np.concatenate((a[mixed], b[alone])) for a, b in ((first, first), (last, last), (np.append(first[1:], 0), first), (np.append(last[1:], 0), last)))
+        parent = np.arange(len(x))
+        for i, j in trie_pairs(x, roots, 63, budget):
+            parent = link(parent, i, j)
+        child = np.flatnonzero(parent != np.arange(len(x)))
+        yield pd.DataFrame({"u": x[child].view(np.int64), "v": x[parent[child]].view(np.int64)})
+
+
+def part_masks(n: int, budget: int) -> list[int]:
+    """For each choice of parts the bits that fingerprints must agree on, as signed longs; of n even ones BLOCK agree at most."""
+    count = budget + 1
+    while count < 64 and n >> (64 // count * (count - budget)) > BLOCK:
+        count += 1
+    cuts = [64 * i // count for i in range(count + 1)]
+    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in (sum(c) for c in combinations(parts, count - budget))]
 
 
 def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column fp) whose closure is that of all pairs within the budget."""
-    fps = prints.select("fp").distinct()
-    n = fps.count()
-    depth = min(DEEPEST, max(0, math.ceil(math.log2(max(1, n) / BLOCK))))
-    masks = [0] + [sum(1 << x for x in c) for k in range(1, min(budget, depth) + 1) for c in combinations(range(depth), k)]
-    prefix = F.shiftrightunsigned("fp", 64 - depth) if depth else F.lit(0).cast("long")
-    heavy = fps.groupBy(prefix.alias("p")).count().where(F.col("count") > 2 * BLOCK).select("p", F.ceil(F.col("count") / BLOCK).alias("chunks"))  # at most 2**DEEPEST rows
-    split = {int(r.p): int(r.chunks) for r in heavy.collect()}
-    chunks = F.coalesce(F.create_map(*[F.lit(x).cast("long") for kv in split.items() for x in kv])[F.col("p")], F.lit(1).cast("long")) if split else F.lit(1).cast("long")
-    blocks = fps.select("fp", prefix.alias("p")).groupBy("p", F.pmod(F.xxhash64("fp"), chunks).alias("c")).agg(F.collect_list("fp").alias("x"))
-    left = blocks.select(F.col("p").alias("pa"), F.col("c").alias("ca"), F.col("x").alias("xa"), F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m"))
-    left = left.select("pa", "ca", "xa", F.col("pa").bitwiseXOR(F.col("m")).alias("pb")).where("pa <= pb")
-    right = blocks.select(F.col("p").alias("pb"), F.col("c").alias("cb"), F.col("x").alias("xb"))
-    pairs = left.join(right, "pb").where("pa < pb or ca <= cb")
-    return pairs.select("pa", "pb", "ca", "cb", "xa", "xb").mapInPandas(lambda it: _forest(it, depth, budget), "u long, v long")
+    fps = checkpoint(prints.select("fp").distinct())
+    masks = part_masks(fps.count(), budget)
+    dealt = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for g, m in enumerate(masks)])).alias("x")).select("fp", "x.g", "x.key")
+    heavy = dealt.groupBy("g", "key").count().where(F.col("count") > 2 * BLOCK)
+    heavy = checkpoint(heavy.select("g", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks")))
+    n = heavy.count()
+    shared = F.broadcast(heavy) if n <= MOST_BROADCAST else heavy
+    light = dealt if not n else dealt.join(shared, ["g", "key"], "left_anti")
+    # groups whose hashes collide are joined as one, which finds the same links
+    light = light.select(F.xxhash64("g", "key").alias("group"), "fp").repartition("group").sortWithinPartitions("group")
+    out = light.mapInPandas(lambda it: _forest(it, ["group"], budget, False), "u long, v long")
+    if n:
+        own = dealt.join(shared, ["g", "key"]).withColumn("side", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        own = own.select("g", "key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "fp")
+        keys = ["g", "key", "i", "j"]
+        out = out.unionByName(own.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(lambda it: _forest(it, keys, budget, True), "u long, v long"))
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left.join(right, key), where right has each key once, with n, its rows in left: those of keys with more than SPLIT are dealt over several tasks."""
+    hot = right.where(F.col("n") > SPLIT).select(key, F.ceil(F.col("n") / SPLIT).cast("int").alias("__kw_tasks"))
+    if not 0 < hot.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return left.join(right.drop("n"), key)
+    tasks = F.coalesce("__kw_tasks", F.lit(1))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("__kw_task", F.pmod(F.xxhash64(*left.columns), tasks).cast("int")).drop("__kw_tasks")
+    right = right.drop("n").join(F.broadcast(hot), key, "left").withColumn("__kw_task", F.explode(F.sequence(F.lit(0), tasks - 1))).drop("__kw_tasks")
+    return left.join(right, [key, "__kw_task"]).drop("__kw_task")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,10 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = checkpoint(spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         now = checkpoint(small)
         new = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if new == state:
@@ -178,33 +220,46 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
+def _text_key(text: str) -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
+def _grouped(docs: DataFrame, words: int, budget: int, text: str) -> DataFrame:
+    """(doc_id, h, fp, first) of each row; h is a hash of the text, first the least (without id, doc_id, h) of the row's component."""
+    prepare(docs.sparkSession)
+    prints = checkpoint(docs.select("doc_id", _text_key(text).alias("h"), fingerprint_column(text, words).alias("fp")))
+    per = checkpoint(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "h")).alias("first"), F.count("*").alias("n")))
+    roots = components(links(per, budget)).withColumnRenamed("node", "fp")
+    rooted = checkpoint(per.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", F.col("n").alias("rows")))
+    least = checkpoint(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")))
+    named = checkpoint(spread_join(rooted.drop("first"), least, "root").select("fp", F.col("least").alias("first"), F.col("rows").alias("n")))
+    return checkpoint(spread_join(prints, named, "fp").select("doc_id", "h", "fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, text: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id."""
-    prepare(docs.sparkSession)
-    prints = checkpoint(docs.select("doc_id", fingerprint_column(text, words).alias("fp")))
-    per = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints, budget))
-    rooted = per.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = checkpoint(rooted.join(ids, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, words, budget, text).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, text: str = "text", most_broadcast: int = 1_000_000) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; repeated ids keep one row.
+def keep_one(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, text: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """docs with one row of each component, that with the smallest doc_id; rows without an id come last.
 
-    A row without doc_id stays only if no row of its component has an id, and then once per fingerprint.
-    Ids to drop are broadcast up to most_broadcast of them (8 bytes each); beyond that they are joined by shuffling.
+    Of rows with that id the one stays whose text has the least hash, and of equal ids and texts one, chosen by its other
+    columns. Rows go by id and text, so equal ids with different texts are told apart. Keys to drop are broadcast up to
+    most_broadcast of them; beyond that they are joined by shuffling.
     """
-    found = checkpoint(near_duplicates(docs, words, budget, text))
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__kw_gone")).distinct()
-    few = gone.count() <= most_broadcast
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__kw_gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named, blank = kept.where("doc_id is not null").dropDuplicates(["doc_id"]), kept.where("doc_id is null")
-        kept = named.unionByName(blank)
-    if found.where("doc_id is null").isEmpty():
-        return kept
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("__kw_alone")).distinct()
-    blank = kept.where("doc_id is null").withColumn("__kw_fp", fingerprint_column(text, words)).join(alone, F.col("__kw_fp") == F.col("__kw_alone"), "left_semi")
-    return kept.where("doc_id is not null").unionByName(blank.dropDuplicates(["__kw_fp"]).drop("__kw_fp"))
+    found = _grouped(docs, words, budget, text)
+    gone = checkpoint(found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))).select(F.col("doc_id").alias("__kw_id"), F.col("h").alias("__kw_h")).distinct())
+    key = fresh(docs, "__kw_key")
+    keyed = docs.withColumn(key, _text_key(text))
+    same = F.col("doc_id").eqNullSafe(F.col("__kw_id")) & (F.col(key) == F.col("__kw_h"))
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, same, "left_anti")
+    often = found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__kw_id"), F.col("h").alias("__kw_h"))
+    often = checkpoint(often.join(gone.select(F.col("__kw_id").alias("i"), F.col("__kw_h").alias("k")), F.col("__kw_id").eqNullSafe(F.col("i")) & (F.col("__kw_h") == F.col("k")), "left_anti"))
+    n = often.count()
+    if not n:
+        return kept.drop(key)
+    shared = F.broadcast(often) if n <= most_broadcast else often
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(shared, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(key + "_row")).select(f"{key}_row.*")
+    return kept.join(shared, same, "left_anti").drop(key).unionByName(one)

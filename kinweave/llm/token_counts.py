@@ -3,13 +3,15 @@
 Offline, every vocabulary string that ends a word is merged by the tokenizer's own rules; those that end as one token
 are proven. A text is split into special strings and words; a proven word counts one, only the rest are merged.
 
-Defined cases: a null text is empty and has no tokens; a special string inside a text is one token; an empty table
-gives an empty result; other columns are kept, a column named like the output is replaced.
+Defined cases: a null text is empty and has no tokens; a special string inside a text is one token; repeated rows give
+repeated rows, and doc_id is never read; a text of any length is counted whole; an empty table gives an empty result;
+other columns are kept, a column named like the output is replaced.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,6 +25,8 @@ from tokenizers import Tokenizer
 
 from kinweave.llm.common import prepare, text_or_empty
 
+#: Texts of these characters are normalised here, which is faster; others by the library, whose Unicode tables are its own.
+LATIN = re.compile("[\x00-\u024f]*")
 #: Words that a Python worker remembers, each of at most KEEP_CHARS characters.
 KEPT_WORDS, KEEP_CHARS = 600_000, 48
 
@@ -68,7 +72,9 @@ class Counter:
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.words = Words(Tokenizer.from_file(path).model, whole)
+        self.replaced = [(regex.compile(x["pattern"].get("Regex") or regex.escape(x["pattern"]["String"])), x["content"].replace("\\", r"\\")) for x in spec["normalizer"]["normalizers"] if x["type"] == "Replace"]
+        library = Tokenizer.from_file(path)
+        self.normalise, self.words = library.normalizer.normalize_str, Words(library.model, whole)
 
     def prove(self) -> frozenset[str]:
         """The words whose merges end in one token: vocabulary strings with a word's ending, each merged once."""
@@ -85,7 +91,13 @@ class Counter:
         return frozenset(proven)
 
     def _plain(self, text: str) -> int:
-        low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if LATIN.fullmatch(text):
+            low = unicodedata.normalize("NFC", text)
+            for old, new in self.replaced:
+                low = old.sub(new, low)
+            low = low.lower()
+        else:
+            low = self.normalise(text)
         return sum(map(self.words.__getitem__, self.split.findall(low)))
 
     def count(self, text: str) -> int:

@@ -1,8 +1,13 @@
 """Exact top-k search by inner product: tiles of queries and shards, partial selection, merging in a tree.
 
-Vectors are packed where they lie into shards of SHARD rows, queries into blocks of BLOCK. A tile is one block beside
-one shard: a matrix product and a selection of the k best of each query. The lists of a query are merged FAN at a time
-until one is left, so no task gathers all lists of a query. Each key of the tile join has one block of queries.
+Vectors are packed, as the narrowest integers that hold them, into shards of SHARD rows and queries into blocks of about
+BLOCK. A tile is one block beside PART shards: for each shard a matrix product in strips of the block, a selection of the
+k best of each query, and a merge with the tile's best so far. The lists of a query from its tiles are merged FAN at a
+time until one is left, so no task gathers all lists of a query.
+
+Scale: a vector is shuffled once for each block of queries and a query once for each tile of its block, so of n vectors
+and m queries 2 * n * m / 262,144 packed vectors travel when a tile has 262,144 of each; that product is the work of an
+exact search too.
 
 Defined cases: components are floor(scale * x); vectors that are null or hold null or non-finite components take no
 part, nor do rows without an id; vectors of unequal lengths have no score; a query's own id is no candidate; a repeated
@@ -22,9 +27,9 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import prepare
 
-SHARD, BLOCK, FAN, PART = 8192, 1024, 16, 256
+SHARD, PART, BLOCK, FAN, STRIP = 8192, 32, 262_144, 16, 256
 MOST = 2**63 - 1
-PACKED = "part long, dim int, ids binary, rows binary"
+PACKED = "dim int, kind string, ids binary, rows binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64, vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -40,17 +45,25 @@ def _floor(x, scale: int):
     return F.when(F.abs(y) < 2.0**52, F.floor(F.when(F.abs(y) < 2.0**52, y).otherwise(0.0)).cast("double")).otherwise(y)
 
 
-def _pack(frames: Iterator[pd.DataFrame], rows: int, parts: int) -> Iterator[pd.DataFrame]:
+def narrow(data: np.ndarray) -> np.ndarray:
+    """Whole numbers held in doubles, in the narrowest type that holds them."""
+    most = np.abs(data).max(initial=0)
+    return data.astype(next((t for t in ("int8", "int16", "int32") if most <= np.iinfo(t).max), "float64"))
+
+
+def unpack(dim: int, kind: str, ids: bytes, rows: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(rows, kind).reshape(len(ids), dim).astype(np.float64)
+
+
+def _pack(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     """Shards of at most `rows` vectors of one length, in the order in which they come."""
     held: dict[int, list[tuple[int, np.ndarray]]] = {}
-    made = 0
 
     def out(dim: int) -> pd.DataFrame:
-        nonlocal made
-        made += 1
         ids = np.array([i for i, _ in held[dim]], np.int64)
-        data = np.stack([v for _, v in held.pop(dim)]) if dim else np.zeros((len(ids), 0))
-        return pd.DataFrame({"part": [(int(ids[0]) * 31 + made) % parts], "dim": [dim], "ids": [ids.tobytes()], "rows": [data.astype(np.float64).tobytes()]})
+        data = narrow(np.stack([v for _, v in held.pop(dim)]) if dim else np.zeros((len(ids), 0)))
+        return pd.DataFrame({"dim": [dim], "kind": [data.dtype.str], "ids": [ids.tobytes()], "rows": [data.tobytes()]})
 
     for frame in frames:
         for i, v in zip(frame["vec_id"], frame["v"], strict=True):
@@ -63,8 +76,10 @@ def _pack(frames: Iterator[pd.DataFrame], rows: int, parts: int) -> Iterator[pd.
 
 
 def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: as int64 where they fit, else as Python integers."""
+    """Exact inner products of whole numbers: in floats that hold them all, else as Python integers."""
     most = (np.abs(q).max(initial=0) * np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    if most < 2.0**24:
+        return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 2.0**53:
         return (q @ c.T).astype(np.int64)
     as_int = np.frompyfunc(int, 1, 1)
@@ -72,33 +87,59 @@ def scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.frompyfunc(lambda x: max(-MOST, min(MOST, x)), 1, 1)(exact).astype(np.int64)
 
 
-def best_of(q_ids: np.ndarray, c_ids: np.ndarray, s: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """For each query its k best (score, id), ties to smaller ids. c_ids ascend."""
+def best_of(q_ids: np.ndarray, c_ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query: (row, id, score), best first, ties to smaller ids. c_ids ascend."""
+    own = c_ids[None, :] == q_ids[:, None]
+    n, room = s.shape[1], (~own).sum(axis=1)
+    if n and np.abs(s).max(initial=0) < 2**62 // (n + 1):
+        # place and score in one number, all distinct
+        key = s * n + (n - 1 - np.arange(n))
+        key[own] = -MOST
+        at = np.argpartition(key, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), key.shape)
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(key, at, 1), axis=1), 1)
+    else:
+        at = np.argsort(np.where(own, MOST, -s), axis=1, kind="stable")
+        # own ids, which may tie with the least score, go last
+        at = np.take_along_axis(at, np.argsort(np.take_along_axis(own, at, 1), axis=1, kind="stable"), 1)[:, :k]
+    row, col = np.nonzero(np.arange(at.shape[1])[None, :] < np.minimum(room, k)[:, None])
+    at = at[row, col]
+    return row, c_ids[at], s[row, at]
+
+
+def tile(asks: pd.DataFrame, shards: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query_id, vec_id, score): the k best of the shards for each query of a block.
+
+    After a strip's first shard only scores that reach the query's k-th best so far are looked at.
+    """
     out = []
-    for row, own in zip(s, q_ids, strict=True):
-        at = np.flatnonzero(c_ids != own)
-        r = row[at]
-        if len(at) > k:
-            floor = np.partition(r, len(r) - k)[len(r) - k]
-            above = np.flatnonzero(r > floor)
-            near = np.concatenate((above, np.flatnonzero(r == floor)[: k - len(above)]))
-            at, r = at[near], r[near]
-        order = sorted(range(len(at)), key=lambda x: (-r[x], at[x]))[:k]
-        out.append([(int(r[x]), int(c_ids[at[x]])) for x in order])
-    return out
-
-
-def _tiles(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for n, (q_ids, q, c_ids, c, dim) in enumerate(zip(frame["q_ids"], frame["q_rows"], frame["ids"], frame["rows"], frame["dim"], strict=True)):
-            q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-            order = np.argsort(c_ids, kind="stable")
-            c_ids, c = c_ids[order], np.frombuffer(c, np.float64).reshape(len(c_ids), dim)[order]
-            q = np.frombuffer(q, np.float64).reshape(len(q_ids), dim)
-            for at in range(0, len(q), PART):
-                ids = q_ids[at : at + PART]
-                found = best_of(ids, c_ids, scores(q[at : at + PART], c), k)
-                yield pd.DataFrame({"query_id": ids, "list": hash((int(c_ids[0]), len(c_ids), n)) & 0x7FFFFFFF, "best": [[{"s": -s, "i": i} for s, i in x] if x else [] for x in found]})
+    cands: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for dim, *packed in zip(shards["dim"], shards["kind"], shards["ids"], shards["rows"], strict=True):
+        ids, c = unpack(dim, *packed)
+        order = np.argsort(ids, kind="stable")
+        cands.setdefault(dim, []).append((ids[order], c[order]))
+    for dim, *packed in zip(asks["dim"], asks["kind"], asks["ids"], asks["rows"], strict=True):
+        q_ids, q = unpack(dim, *packed)
+        for at in range(0, len(q), STRIP) if dim in cands else ():
+            ids, part = q_ids[at : at + STRIP], q[at : at + STRIP]
+            row = vec = score = floor = None
+            for c_ids, c in cands[dim]:
+                s = scores(part, c)
+                if row is None:
+                    row, vec, score = best_of(ids, c_ids, s, k)
+                else:
+                    r, j = np.nonzero(s >= floor[:, None])
+                    other = c_ids[j] != ids[r]
+                    r, j = r[other], j[other]
+                    row, vec, score = np.append(row, r), np.append(vec, c_ids[j]), np.append(score, s[r, j])
+                    order = np.lexsort((vec, -score, row))
+                    row, vec, score = row[order], vec[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, vec, score = row[keep], vec[keep], score[keep]
+                held = np.bincount(row, minlength=len(ids))
+                floor = np.full(len(ids), -MOST)
+                floor[held == k] = score[np.cumsum(held)[held == k] - 1]
+            out.append(pd.DataFrame({"query_id": ids[row], "vec_id": vec, "score": score}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, vector_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -107,20 +148,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     cands = integer_vectors(vectors, scale, vector_id, vector)
     asked = integer_vectors(queries, scale, vector_id, vector).groupBy("vec_id").agg(F.max("v").alias("v"))
     n, m = cands.count(), asked.count()
-    blocks, parts = max(1, math.ceil(m / BLOCK)), max(1, math.ceil(n / SHARD / 4))
-    shards = cands.mapInPandas(lambda it: _pack(it, SHARD, parts), PACKED).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    by_block = asked.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    packed = by_block.groupBy("b").applyInPandas(lambda key, x: pd.concat([pd.DataFrame({"b": [], "dim": [], "q_ids": [], "q_rows": []}), *(p.drop(columns="part").rename(columns={"ids": "q_ids", "rows": "q_rows"}).assign(b=key[0]) for p in _pack(iter([x]), len(x) + 1, 1))]), "b int, dim int, q_ids binary, q_rows binary")
-    asks = packed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    tiles = shards.join(asks, ["b", "part", "dim"]).select("dim", "ids", "rows", "q_ids", "q_rows")
-    lists = tiles.mapInPandas(lambda it: _tiles(it, k), "query_id long, list long, best array<struct<s:long,i:long>>")
-    width = max(1, 2 * math.ceil(n / SHARD))
+    blocks, parts = max(1, math.ceil(m / BLOCK)), max(math.ceil(n / (SHARD * PART)), min(PART, math.ceil(n / SHARD)), 1)
+
+    def dealt(rows: DataFrame, name: str, into: int, each: str, of: int) -> DataFrame:
+        """Packed rows, each dealt to one of `into` and beside every one of `of`."""
+        packed = rows.mapInPandas(lambda it: _pack(it, SHARD), PACKED).withColumn(name, F.pmod(F.xxhash64("ids"), F.lit(into)).cast("int"))
+        return packed.withColumn(each, F.explode(F.sequence(F.lit(0), F.lit(of - 1))))
+
+    shards, asks = dealt(cands, "part", parts, "block", blocks), dealt(asked, "block", blocks, "part", parts)
+    tiles = asks.groupBy("block", "part").cogroup(shards.groupBy("block", "part"))
+    found = tiles.applyInPandas(lambda key, a, b: tile(a, b, k).assign(part=key[1]), "query_id long, vec_id long, score long, part int")
+    width = parts
 
     def merge(df: DataFrame, *keys) -> DataFrame:
-        return df.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+        lists = F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))
+        return df.groupBy("query_id", *keys).agg(F.slice(F.sort_array(lists), 1, k).alias("best"))
 
     while width > FAN:
         width = math.ceil(width / FAN)
-        lists = merge(lists, F.pmod("list", F.lit(width)).alias("list"))
-    best = merge(lists).select("query_id", F.posexplode("best").alias("at", "x"))
+        found = merge(found, F.pmod("part", F.lit(width)).alias("part")).select("query_id", "part", F.explode("best").alias("x")).select("query_id", F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"), "part")
+    best = merge(found).select("query_id", F.posexplode("best").alias("at", "x"))
     return best.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -2,7 +2,8 @@
 
 Records are range-sorted by page id: the id range is cut into CELLS equal cells, cells become shards of about
 SHARD_BYTES of payload, and each shard is sorted and written as gzip members to files that roll at ROLL_BYTES
-compressed. A cell that holds more than a shard is spread over several by a hash. Cuts depend on the data alone, and so
+compressed. A cell that holds more than a shard is cut into equal ranges or, where its ids are too uneven for that, spread
+over several shards by a hash. Cuts depend on the data alone, and so
 do file names, record ids, headers and digests. Tasks write under temporary names and return a manifest; the manifest
 is stored, and a second job renames exactly the files that it lists, so failed or repeated attempts leave no records.
 
@@ -32,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.common import checkpoint, new_folder, prepare
+from kinweave.llm.common import checkpoint, make_folder, new_folder, prepare
 
 CELLS, SHARD_BYTES, ROLL_BYTES = 4096, 16 << 20, 8 << 20
 MOST_BROADCAST = 200_000
@@ -76,11 +77,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it; Hadoop's names for S3 are those of one store."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 class Roll:
     """Writes the records of a shard to files of about ROLL_BYTES."""
 
     def __init__(self, folder: str) -> None:
-        self.fs, self.root = fs.FileSystem.from_uri(folder)
+        self.fs, self.root = store(folder)
         self.attempt = uuid.uuid4().hex
         self.shard: int | None = None
         self.parts: list[bytes] = []
@@ -122,7 +128,7 @@ def _write(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame
 
 
 def _commit(frames: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
-    files, root = fs.FileSystem.from_uri(folder)
+    files, root = store(folder)
     for frame in frames:
         for temporary, name, n in zip(frame["temporary"], frame["name"], frame["n_bytes"], strict=True):
             done = files.get_file_info(f"{root}/{name}")
@@ -137,8 +143,11 @@ def shards(payloads: DataFrame) -> tuple[object, int]:
     if low is None:
         low = high = 0
     width = max(1, math.ceil((high - low + 1) / CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("int") + 1, F.lit(0))
-    sizes = {r["cell"]: r["n"] for r in payloads.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 200).alias("n")).collect()}  # CELLS + 1 rows at most
+    far = F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")  # ids may span more than a long holds
+    part = F.call_function("div", far, F.lit(width).cast("decimal(20,0)")).cast("int")
+    cell = F.coalesce(part + 1, F.lit(0))
+    sized = payloads.groupBy(cell.alias("cell")).agg(F.sum(F.col("size") + 200).alias("n"))
+    sizes = {r["cell"]: r["n"] for r in sized.collect()}  # CELLS + 1 rows at most
     first, spread, at, room = [], [], 0, 0
     for c in range(max(sizes, default=0) + 1):
         n = sizes.get(c, 0)
@@ -155,7 +164,13 @@ def shards(payloads: DataFrame) -> tuple[object, int]:
         room += n
     deal = F.array(*map(F.lit, first))[cell]
     if max(spread) > 1:
-        deal = deal + F.pmod(F.xxhash64("url", "digest"), F.array(*map(F.lit, spread))[cell]).cast("int")
+        wide = F.array(*map(F.lit, spread))[cell]
+        within = (far - part.cast("decimal(20,0)") * F.lit(width)).cast("double") / F.lit(float(width))
+        ranged = F.coalesce(F.least(F.floor(within * wide).cast("int"), wide - 1), F.lit(0))
+        crowded = payloads.groupBy(cell.alias("cell"), ranged.alias("part")).agg(F.sum(F.col("size") + 200).alias("n")).where(F.col("n") > 4 * SHARD_BYTES)
+        uneven = {r["cell"] for r in crowded.select("cell").distinct().collect()}  # CELLS + 1 rows at most
+        hashed = F.pmod(F.xxhash64("url", "digest"), wide).cast("int")
+        deal = deal + (F.when(cell.isin(*uneven), hashed).otherwise(ranged) if uneven else ranged)
     return deal, at + 1
 
 
@@ -163,7 +178,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, html: str = "html")
     """Write the archives of pages (page_id, url, html) to folder; the manifest, as a table stored beside them."""
     spark = pages.sparkSession
     prepare(spark)
-    spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+    make_folder(spark, folder)
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})

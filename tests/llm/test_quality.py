@@ -38,3 +38,69 @@ def test_odd_rows(odd_docs, no_docs):
     model = quality.fit(no_docs)
     assert quality.score(no_docs, model).count() == 0 and model.weak == {}
     assert {r["score"] for r in quality.score(odd_docs, model).collect()} == {0.5}
+
+
+def slow_posteriors(patterns, rounds=quality.ROUNDS):
+    """Expectation-maximisation again, pattern by pattern and labeller by labeller."""
+    import math
+
+    clip = lambda x, a, b: max(a, min(b, x))
+    q = {p: clip((p.count("g") + 1) / (p.count("g") + 3 * p.count("b") + 2), 0.02, 0.98) for p in patterns}
+    total = sum(patterns.values())
+    for _ in range(rounds):
+        share = clip(sum(n * q[p] for p, n in patterns.items()) / total, 0.02, 0.98)
+        chance = {}
+        for side in (0, 1):
+            for k in range(len(quality.LABELLERS)):
+                counts = {v: 1.0 + sum(n * (q[p] if side else 1 - q[p]) for p, n in patterns.items() if p[k] == v) for v in "b-g"}
+                for v in counts:
+                    chance[side, k, v] = math.log(counts[v] / sum(counts.values()))
+        log = {(p, side): sum(chance[side, k, v] for k, v in enumerate(p)) for p in patterns for side in (0, 1)}
+        q = {p: 1 / (1 + math.exp(clip(log[p, 0] + math.log(1 - share) - log[p, 1] - math.log(share), -30, 30))) for p in patterns}
+    return q
+
+
+def test_against_plain_python(spark):
+    """Votes, posteriors, the scorer's training and every score again in plain Python."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = quality.fit(docs)
+    cast = {i: quality.votes(quality.measures(t)) for i, t in rows.items()}
+    patterns = {p: list(cast.values()).count(p) for p in set(cast.values())}
+    weak = slow_posteriors(patterns)
+    assert set(weak) == set(model.weak) and all(abs(weak[p] - model.weak[p]) < 1e-6 for p in weak)
+    by_text = {t: weak[cast[i]] for i, t in rows.items()}
+    texts = sorted(by_text)  # fewer than the sample takes, so all train once
+
+    def sparse(t):
+        m, raw = quality.measures(t), t.encode("utf-8", "replace")
+        counts = {}
+        for i in range(len(raw) - 2):
+            at = int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32 >> 32 - quality.BITS
+            counts[at] = counts.get(at, 0) + 1
+        v = {k: math.log1p(n) for k, n in counts.items()}
+        n = math.sqrt(sum(x * x for x in v.values())) or 1
+        v = {k: x / n for k, x in v.items()}
+        for k, x in enumerate((m or {}).values()):
+            at = (k * 977 + int(min(max(x, 0.0), 8.0) * 20) * 131 + 7) % 2**quality.BITS
+            v[at] = v.get(at, 0) + 0.4
+        return v
+
+    x = np.zeros((len(texts), 2**quality.BITS))
+    for row, t in enumerate(texts):
+        for k, n in sparse(t).items():
+            x[row, k] = n
+    y = np.array([by_text[t] for t in texts])
+    weight = np.array([0.5 / y.mean() if v > 0.5 else 0.5 / (1 - y.mean()) for v in y])
+    weight /= weight.sum()
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(quality.EPOCHS):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        error = (p - y) * weight
+        w, b = w - quality.STEP * (sum(e * r for e, r in zip(error, x, strict=True)) + quality.DECAY * w), b - quality.STEP * error.sum()
+    want = dict(zip(texts, 1 / (1 + np.exp(-(x @ w + b))), strict=True))
+    for r in quality.score(docs, model).collect():
+        assert abs(r["score"] - want[r["text"]]) < 0.02 and abs(r["weak_posterior"] - by_text[r["text"]]) < 1e-6
+        assert r["keep"] == (r["score"] >= 0.5)

@@ -87,3 +87,26 @@ def test_unknown_token_is_an_error():
 
     with pytest.raises(ValueError):
         bpe.Coder(RANKS, P.PATTERN).decode([(60_000).to_bytes(4, "little")])
+
+
+def code_points():
+    return [chr(x) for x in (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200))]
+
+
+def test_every_code_point_counts_as_in_the_library():
+    tok, own = Tokenizer.from_file(WORD), token_counts.Counter(WORD)
+    texts = [f"a{c}b" for c in code_points()] + [f"\u10d0K{c}w {c}" for c in code_points()[::7]]
+    wrong = [t for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True) if own.count(t) != len(e.ids)]
+    assert not wrong
+
+
+def test_every_code_point_splits_as_in_the_library():
+    enc, own = library(), bpe.Coder(RANKS, P.PATTERN)
+    texts = [f"{c}'s {c}1a{c} .{c}" for c in code_points()]
+    wrong = [t for t, ids in zip(texts, own.encode(texts), strict=True) if bpe.id_list(ids) != enc.encode_ordinary(t)]
+    assert not wrong
+
+
+def test_both_unicode_tables_are_known():
+    odd, exact = bpe.as_library(P.PATTERN)
+    assert odd and "\\p" not in exact and bpe.as_library("a+") == ("", "a+")
