@@ -41,6 +41,8 @@ LONG_WORD = 256
 KEPT_WORDS, KEEP_CHARS = 300_000, 32
 #: Characters of texts whose new words one recursive query takes together, unless a single batch has more.
 GATHER_CHARS = 1_000_000
+#: Bytes of words, or tokens, in one query at most, unless a single word has more: what a query holds doesn't grow with a text.
+ROWS = 200_000
 
 #: A token has its place p, the next token's place and the next token; next is -1 and following null at a word's end.
 #: Each step finds the pairs' ranks, the best pair of each word, and what follows the token that the best pair absorbs.
@@ -169,21 +171,27 @@ class Coder:
             else:
                 rest.append(word)
                 data.append(b)
-        if rest:
-            lengths = np.fromiter(map(len, data), np.int64, len(data))
-            raw = np.frombuffer(b"".join(data), np.uint8)
-            place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            token, last = self.single[raw], np.zeros(len(raw), bool)
-            last[np.cumsum(lengths) - 1] = True
-            columns = {"w": np.repeat(np.arange(len(rest)), lengths), "p": place, "next": np.where(last, -1, place + 1), "t": token}
-            narrow = {k: pa.array(x.astype(np.int32)) for k, x in columns.items()}
-            found = self._query("words", narrow | {"following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}, CONTRACT)
-            ids = found["ids"].combine_chunks()
-            flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4).tolist()
-            for k, word in enumerate(rest):
-                out[word] = flat[ends[k] : ends[k + 1]]
+        sizes = np.cumsum([0, *map(len, data)])
+        cuts = [0, *(np.flatnonzero(np.diff(sizes[:-1] // ROWS)) + 1).tolist(), len(rest)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                self._contract(rest[a:b], data[a:b], out)
         return out
 
+    def _contract(self, words: list[str], data: list[bytes], out: dict[str, bytes]) -> None:
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        token, last = self.single[raw], np.zeros(len(raw), bool)
+        last[np.cumsum(lengths) - 1] = True
+        columns = {"w": np.repeat(np.arange(len(words)), lengths), "p": place, "next": np.where(last, -1, place + 1), "t": token}
+        narrow = {k: pa.array(x.astype(np.int32)) for k, x in columns.items()}
+        found = self._query("words", narrow | {"following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}, CONTRACT)
+        ids = found["ids"].combine_chunks()
+        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) * 4).tolist()
+        for k, word in enumerate(words):
+            out[word] = flat[ends[k] : ends[k + 1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         seen: dict[str, str] = {}
         pieces = []
@@ -209,15 +217,21 @@ class Coder:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-        if not len(flat):
-            return [b""] * len(ids)
-        parts = self._query("tokens", {"p": np.arange(len(flat), dtype=np.int32), "t": flat}, JOIN_UP)["parts"].combine_chunks()
+        data, at = zip(*(self._join_up(flat[i : i + ROWS]) for i in range(0, max(1, len(flat)), ROWS)), strict=True)
+        begins = np.concatenate([a[:-1] + n for a, n in zip(at, np.cumsum([0, *map(len, data)]).tolist(), strict=False)] + [[sum(map(len, data))]])
+        whole, ends = memoryview(b"".join(data)), begins[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [bytes(whole[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _join_up(self, tokens: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of the tokens, and where each begins and the last ends."""
+        if not len(tokens):
+            return b"", np.zeros(1, np.int64)
+        parts = self._query("tokens", {"p": np.arange(len(tokens), dtype=np.int32), "t": tokens}, JOIN_UP)["parts"].combine_chunks()
         values = parts.flatten().cast(pa.large_binary())
-        if len(values) != len(flat):
+        if len(values) != len(tokens):
             raise ValueError("a token is not in the vocabulary")
         at = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-        data, ends = memoryview(values.buffers()[2]), at[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
-        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        return bytes(memoryview(values.buffers()[2])[at[0] : at[-1]]), at - at[0]
 
 
 @lru_cache(maxsize=2)

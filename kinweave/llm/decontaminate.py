@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from kinweave.llm.common import checkpoint, prepare, text_or_empty
+from kinweave.llm.common import checkpoint, fresh, prepare, text_or_empty
 
 #: Edits allowed for each word, and for each character, of a passage.
 TOLERANCE, CHAR_TOLERANCE = 0.2, 0.1
@@ -320,7 +320,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLE
     rows = benchmark.select("item_id", text_or_empty(item_text).alias("t"))
     chars = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = max(1, math.ceil(chars / BLOCK_CHARS))
-    out = docs.withColumn("__kw_passages", F.array().cast(MATCHES))
+    held = fresh(docs, "__kw_passages")
+    out = docs.withColumn(held, F.array().cast(MATCHES))
     for k in range(n):
         block = rows.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n)) == k).orderBy("item_id", "t").collect()
         index = spark.sparkContext.broadcast(build([(r["item_id"], r["t"]) for r in block], tolerance, char_tolerance))
@@ -333,7 +334,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, tolerance: float = TOLE
 
             return find(text_or_empty(text))
 
-        out = out.withColumn("__kw_passages", F.concat("__kw_passages", column(index)))
+        out = out.withColumn(held, F.concat(held, column(index)))
         if k % CHAIN == CHAIN - 1 and k < n - 1:
             out = checkpoint(out)
-    return out.drop(to).withColumnRenamed("__kw_passages", to)
+    return out.drop(to).withColumnRenamed(held, to)

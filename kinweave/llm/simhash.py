@@ -249,13 +249,14 @@ def keep_one(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, text: st
     most_broadcast of them; beyond that they are joined by shuffling.
     """
     found = _grouped(docs, words, budget, text)
-    gone = checkpoint(found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))).select(F.col("doc_id").alias("__kw_id"), F.col("h").alias("__kw_h")).distinct())
-    key = fresh(docs, "__kw_key")
+    key, i, h = (fresh(docs, x) for x in ("__kw_key", "__kw_id", "__kw_h"))
+    pair = (F.col("doc_id").alias(i), F.col("h").alias(h))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    gone = checkpoint(found.where(~stays).select(*pair).distinct())
     keyed = docs.withColumn(key, _text_key(text))
-    same = F.col("doc_id").eqNullSafe(F.col("__kw_id")) & (F.col(key) == F.col("__kw_h"))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h))
     kept = keyed.join(F.broadcast(gone) if gone.count() <= most_broadcast else gone, same, "left_anti")
-    often = found.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__kw_id"), F.col("h").alias("__kw_h"))
-    often = checkpoint(often.join(gone.select(F.col("__kw_id").alias("i"), F.col("__kw_h").alias("k")), F.col("__kw_id").eqNullSafe(F.col("i")) & (F.col("__kw_h") == F.col("k")), "left_anti"))
+    often = checkpoint(found.where(stays).groupBy("doc_id", "h").count().where("count > 1").select(*pair))
     n = often.count()
     if not n:
         return kept.drop(key)
