@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions import lists, text
+from kinweave.functions import arrow, lists, text
 
 
 def is_alpha(t: Column) -> Column:
@@ -30,41 +30,10 @@ def house_number(words: Column) -> Column:
     return F.coalesce(F.get(F.filter(words, lambda t: t.rlike(r"^\p{Nd}+(-\p{Nd}+)?$")), 0), F.lit(""))
 
 
-def _last_alpha(words: Column) -> Column:
-    return last(F.filter(words, is_alpha))
-
-
-def _place(state: Column, city: Column) -> Column:
-    return F.struct(state.alias("state"), city.alias("city"))
-
-
-def _us(words: Column) -> Column:
-    states, streets = text.literal_array(lists.STATES["us"]), text.literal_array(lists.STREET_TYPES)
-    places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.coalesce(F.array_contains(states, F.get(words, i)), F.lit(False)))
-
-    def usable(t: Column) -> Column:
-        return F.coalesce(is_alpha(t) & ~F.array_contains(streets, t), F.lit(False))
-
-    def found(at: Column) -> Column:
-        two = F.slice(words, F.greatest(at - 1, F.lit(1)), F.greatest(F.least(at, F.lit(2)), F.lit(0)))
-        city = text.let(two, lambda w: F.when(~usable(F.get(w, F.size(w) - 1)), "").when((F.size(w) == 2) & usable(F.get(w, 0)), F.array_join(w, " ")).otherwise(F.get(w, F.size(w) - 1)))
-        return F.when(at > 0, _place(F.get(words, at), city)).otherwise(_place(F.lit(""), _last_alpha(words)))
-
-    return text.let(F.coalesce(F.get(places, F.size(places) - 1), F.lit(-1)), found)
-
-
-def _by_tail(words: Column, name: str, most: int) -> Column:
-    def found(state: Column) -> Column:
-        n = F.when(state == "", 0).otherwise(F.size(F.split(state, " ")))
-        return _place(state, _last_alpha(F.slice(words, 1, F.size(words) - n)))
-
-    return text.let(text.longest_tail(words, lists.STATES[name], most), found)
-
-
 def place(words: Column, country_name: Column) -> Column:
     """A struct of state and city by the country's rule; without one there is no state, and the city is the last
-    alphabetic token."""
-    return F.when(country_name == "us", _us(words)).when(country_name == "india", _by_tail(words, "india", 2)).when(country_name == "france", _by_tail(words, "france", 3)).otherwise(_place(F.lit(""), _last_alpha(words)))
+    alphabetic token. Rules look at tokens from the end, which expressions over arrays can't stop early at."""
+    return arrow.place(words, country_name)
 
 
 def state_and_city(words: Column, country_name: Column) -> tuple[Column, Column]:

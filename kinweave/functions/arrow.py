@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,17 +72,29 @@ SIMILARITIES = "struct<name_ratio:double,name_jaro_winkler:double,name_token_sor
 
 
 def string_similarities(a_name: Column, b_name: Column, a_addr: Column, b_addr: Column) -> Column:
-    """All similarities of a pair that need Python, so that a pair crosses to Python once."""
+    """All similarities of a pair that need Python, so that a pair crosses to Python once; equal pairs of a batch are compared once."""
 
     @pandas_udf(SIMILARITIES)
     def of(an: pd.Series, bn: pd.Series, aa: pd.Series, ba: pd.Series) -> pd.DataFrame:
         s = similarity
-        rows = [(s.ratio(x, y), s.jaro_winkler(x, y), s.token_sort(x, y), s.token_set(x, y), s.partial_ratio(x, y), s.partial_ratio(u, v)) for x, y, u, v in zip(an, bn, aa, ba, strict=True)]
+        names = lru_cache(maxsize=None)(lambda x, y: (s.ratio(x, y), s.jaro_winkler(x, y), s.token_sort(x, y), s.token_set(x, y), s.partial_ratio(x, y)))
+        addresses = lru_cache(maxsize=None)(s.partial_ratio)
+        rows = [(*names(x, y), addresses(u, v)) for x, y, u, v in zip(an, bn, aa, ba, strict=True)]
         return pd.DataFrame(rows, columns=["name_ratio", "name_jaro_winkler", "name_token_sort", "name_token_set", "name_partial_ratio", "addr_partial_ratio"])
 
     return of(a_name, b_name, a_addr, b_addr)
 
 
+def place(words: Column, country: Column) -> Column:
+    """A struct of an address's state and city."""
+
+    @pandas_udf("struct<state:string,city:string>")
+    def of(w: pd.Series, name: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([similarity.state_and_city(list(x), c) for x, c in zip(w, name, strict=True)], columns=["state", "city"])
+
+    return of(words, country)
+
+
 def soundex(c: Column) -> Column:
     """Soundex; empty for words that don't begin with a letter."""
     return F.when(c.rlike("^[A-Za-z]"), F.soundex(c)).otherwise("")

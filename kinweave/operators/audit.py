@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions import text
 from kinweave.operators import metrics
 from kinweave.operators.common import ratio, top
+from kinweave.sources.folders import exists
 
 
 def missing_share(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,6 +43,13 @@ def bucket_mismatch(records: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(F.when(F.col("ba") != F.col("bb"), 1).otherwise(0)), F.lit(0)).alias("mismatched"))
 
 
+def twin_mismatch(records: DataFrame, key: str) -> DataFrame:
+    """bucket_mismatch of all pairs of a reference and a candidate with equal keys, from counts per key and bucket; no pair is made."""
+    per = records.groupBy(key, "bucket").agg(F.count(F.when(F.col("src") == 1, 1)).alias("a"), F.count(F.when(F.col("src") != 1, 1)).alias("b"))
+    keys = per.where(F.col(key).isNotNull()).groupBy(key).agg((F.sum("a") * F.sum("b")).alias("pairs"), F.sum(F.when(F.col("bucket").isNotNull(), F.col("a") * F.col("b")).otherwise(0)).alias("same"))
+    return keys.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.col("pairs") - F.col("same")), F.lit(0)).alias("mismatched"))
+
+
 def missing_references(refs: DataFrame, found: DataFrame) -> DataFrame:
     """References of each bucket that `found` lacks."""
     return refs.join(found.select("ref_id").distinct(), "ref_id", "left_anti").groupBy("bucket").agg(F.count("*").alias("missing"))
@@ -63,17 +71,49 @@ def check_coverage(refs: DataFrame, found: DataFrame, least: float = 1.0) -> Non
         raise ValueError("rows of references out of scope")
 
 
+def planned_counts(refs: DataFrame, run: dict | None = None) -> dict[str, int]:
+    """The references of each bucket that later stages should find: what a deliberately sampled or capped run processed, else all."""
+    if run and (run.get("ref_sample") is not None or run.get("max_refs") is not None) and run.get("per_bucket"):
+        return {b: int(n) for b, n in run["per_bucket"].items()}
+    return {r["bucket"]: r["count"] for r in refs.groupBy("bucket").count().collect()}
+
+
+def check_artifacts(spark: SparkSession, places: dict[str, str], expected: dict[str, int], least: float = 0.999, allow_missing: bool = False) -> dict[str, dict]:
+    """What each bucket's stored table covers; raises if one is missing or truncated.
+
+    places: bucket to path. A bucket without expected references is out of scope, not missing; a table with fewer than
+    `least` of its references is truncated, as a trial run leaves behind.
+    """
+    out, bad = {}, []
+    for bucket in dict.fromkeys(x.strip().lower() for names in places for x in names.split(",") if x.strip()):
+        n = expected.get(bucket)
+        there = exists(spark, places[bucket])
+        found = spark.read.parquet(places[bucket]).select("ref_id").distinct().count() if there else 0
+        state = "present" if there and (not n or found >= least * n) else "truncated" if there else "out of scope" if n == 0 else "missing"
+        out[bucket] = {"state": state, "expected": n, "found": found}
+        if state == "truncated" or state == "missing" and not allow_missing:
+            bad.append(f"{bucket}: {state}, {found} of {n} references")
+    if bad:
+        raise ValueError("; ".join(bad))
+    return out
+
+
 def missed_pairs(truth: DataFrame, found: DataFrame) -> DataFrame:
     return truth.distinct().join(found.select("ref_id", "cand_id").distinct(), ["ref_id", "cand_id"], "left_anti")
 
 
 def missed_profile(truth: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
-    """What missed true pairs look like: equal names, shared tokens, missing addresses."""
-    rec = records.select("entity_id", "name_core", "addr_norm")
-    rows = missed_pairs(truth, found).join(rec.select(F.col("entity_id").alias("ref_id"), F.col("name_core").alias("na"), F.col("addr_norm").alias("aa")), "ref_id").join(rec.select(F.col("entity_id").alias("cand_id"), F.col("name_core").alias("nb"), F.col("addr_norm").alias("ab")), "cand_id")
+    """What missed true pairs look like: equal names, shared tokens, missing addresses, different scripts."""
+    rec = records.select("entity_id", F.struct("name_core", "addr_norm", text.script(F.col("name_core")).alias("script")).alias("r"))
+    rows = missed_pairs(truth, found).join(rec.select(F.col("entity_id").alias("ref_id"), F.col("r").alias("a")), "ref_id").join(rec.select(F.col("entity_id").alias("cand_id"), F.col("r").alias("b")), "cand_id")
     share = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
-    similar = text.jaccard(text.tokens(F.col("na")), text.tokens(F.col("nb")))
-    return rows.agg(F.count("*").alias("missed"), share(F.col("na") == F.col("nb")).alias("same_name"), share(similar >= 0.5).alias("similar_name"), share((F.col("aa") == "") | (F.col("ab") == "")).alias("missing_address"))
+    names, addresses = (text.jaccard(text.tokens(F.col(f"a.{c}")), text.tokens(F.col(f"b.{c}"))) for c in ("name_core", "addr_norm"))
+    one, two = F.col("a.addr_norm") == "", F.col("b.addr_norm") == ""
+    return rows.agg(
+        F.count("*").alias("missed"), share(F.col("a.name_core") == F.col("b.name_core")).alias("same_name"), share(names >= 0.5).alias("similar_name"), share(names < 0.5).alias("other_name"), share(addresses >= 0.5).alias("similar_address"),
+        share(one & two).alias("missing_both"), share(one != two).alias("missing_address"), share((names < 0.5) & (addresses < 0.5)).alias("other_both"),
+        share((F.col("a.script") != F.col("b.script")) & ((F.col("a.script") == "latin") | (F.col("b.script") == "latin"))).alias("cross_script"),
+    )
 
 
 def error_classes(refs: DataFrame, truth: DataFrame, pred: DataFrame) -> DataFrame:
@@ -102,6 +142,31 @@ def group_metrics(classes: DataFrame, by: str, n: int | None = None) -> DataFram
     return rows.limit(n) if n else rows
 
 
+def error_focus(classes: DataFrame) -> DataFrame:
+    """(error_class, n, share, f05_mass): where the loss lies."""
+    total = classes.agg(F.count("*").alias("total"))
+    per = classes.groupBy("error_class").agg(F.count("*").alias("n"), F.round(F.sum("f05"), 4).alias("f05_mass"))
+    return per.join(F.broadcast(total)).select("error_class", "n", ratio(F.col("n"), F.col("total")).alias("share"), "f05_mass")  # one row
+
+
+def with_dimensions(classes: DataFrame, records: DataFrame) -> DataFrame:
+    """classes with the columns that diagnostics group by: bucket, length buckets of name and address, script."""
+    own = records.select(F.col("entity_id").alias("ref_id"), "bucket", text.length_bucket(F.length("name_core")).alias("name_bucket"), text.length_bucket(F.length("addr_norm")).alias("addr_bucket"), text.script(F.col("name_core")).alias("script"))
+    return classes.drop("bucket").join(own, "ref_id")
+
+
+DIMENSIONS = ("bucket", "gt_source", "pred_source", "name_bucket", "addr_bucket", "script")
+
+
+def diagnostics(classes: DataFrame, dimensions=DIMENSIONS) -> DataFrame:
+    """group_metrics by each dimension, with the dimension's name; the rows are read once, each once for a dimension."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions]))
+    rows = classes.select("*", each.alias("d")).select("*", F.concat_ws("\x00", "d.dimension", "d.value").alias("__both"))
+    found = group_metrics(rows, "__both")
+    parts = F.split("group", "\x00")
+    return found.withColumns({"dimension": parts[0], "group": parts[1]})
+
+
 def spot_check(refs: DataFrame, pred: DataFrame, scores: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Volumes of an unlabelled bucket's predictions, and the n references with the best scores."""
     per = refs.select("ref_id").join(pred.groupBy("ref_id").agg(F.count("*").alias("n_pred")), "ref_id", "left").join(scores.groupBy("ref_id").agg(F.max("prob").alias("peak")), "ref_id", "left").fillna(0, ["n_pred"])

@@ -33,40 +33,59 @@ def exact_keys(df: DataFrame) -> DataFrame:
 
 
 def exact_channel(refs: DataFrame, cands: DataFrame, k: int = DEFAULTS.top_k, cap: int = DEFAULTS.exact_posting_cap) -> DataFrame:
-    """Candidates that share a key of the best tier at which the reference meets any; first k in candidate order."""
-    index = postings(exact_keys(cands), ["bucket", "tier", "key"], cap).select("bucket", "tier", "key", F.col("id").alias("cand_id"), F.col("seq").alias("cand_seq"))
+    """Candidates that share a key of the best tier at which the reference meets any; first k in candidate order.
+
+    A reference has one key of a tier, so no more than the first k postings of a key are ever needed: an index row holds
+    just those, and a hot key adds one row to each reference.
+    """
+    first = postings(exact_keys(cands), ["bucket", "tier", "key"], min(k, cap))
+    index = first.groupBy("bucket", "tier", "key").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("id").alias("cand_id")))).alias("held"))  # at most k
     met = exact_keys(refs).select(F.col("id").alias("ref_id"), "bucket", "tier", "key").join(index, ["bucket", "tier", "key"])
-    best = met.withColumn("best", F.max("tier").over(Window.partitionBy("ref_id"))).where("tier = best")
-    return top(best, ["ref_id"], [F.col("cand_seq")], k).select("ref_id", "cand_id", F.col("tier").cast("double").alias("score"), "rank")
+    best = met.groupBy("ref_id").agg(F.max("tier").cast("double").alias("score"), F.max_by("held", "tier").alias("held"))
+    return best.select("ref_id", "score", F.posexplode("held").alias("at", "x")).select("ref_id", F.col("x.cand_id").alias("cand_id"), "score", (F.col("at") + 1).alias("rank"))
 
 
-def document_frequency(postings_: DataFrame, sizes: DataFrame, min_df: int, max_df: float) -> DataFrame:
-    """(bucket, term, df, idf) of the terms that min_df documents and a share of max_df documents at most have."""
+def document_frequency(postings_: DataFrame, sizes: DataFrame, min_df: int, max_df: float, small_pool: int = 0) -> DataFrame:
+    """(bucket, term, df, idf) of the terms that min_df documents and a share of max_df documents at most have; all terms of buckets below small_pool documents."""
     df = postings_.groupBy("bucket", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "bucket")
-    df = df.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))
+    df = df.where((F.col("n") < small_pool) | (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))
     return df.select("bucket", "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def sparse_channel(refs: DataFrame, cands: DataFrame, k: int = DEFAULTS.top_k, min_df: int = DEFAULTS.word_min_df, max_df: float = DEFAULTS.word_max_df, query_terms: int = DEFAULTS.max_query_terms, scan: int = DEFAULTS.max_posting_scan) -> DataFrame:
-    """Inverted-index retrieval over the array column `terms`.
+def sparse_index(cands: DataFrame, min_df: int = DEFAULTS.word_min_df, max_df: float = DEFAULTS.word_max_df, scan: int = DEFAULTS.max_posting_scan, small_pool: int = 0) -> DataFrame:
+    """(bucket, term, df, idf, cand_id, seq): the first `scan` postings of each term of the array column `terms`.
 
-    A reference's terms weigh (1 + ln tf) * idf, scaled to unit length over the vocabulary; its `query_terms` rarest
-    terms scan the first `scan` postings each; a candidate scores the sum of the query's weights of the terms it shares.
-    The buckets' sizes are one row per bucket, hence the broadcast.
+    A table that may be written and searched again. The buckets' sizes are one row per bucket, hence the broadcast.
     """
     held = cands.select("id", "bucket", "seq", F.explode(F.array_distinct("terms")).alias("term"))
-    vocabulary = document_frequency(held, cands.groupBy("bucket").agg(F.count("*").alias("n")), min_df, max_df)
+    vocabulary = document_frequency(held, cands.groupBy("bucket").agg(F.count("*").alias("n")), min_df, max_df, small_pool)
+    indexed = held.join(vocabulary, ["bucket", "term"])
+    short, long = indexed.where(F.col("df") <= scan), postings(indexed.where(F.col("df") > scan), ["bucket", "term"], scan)
+    return short.unionByName(long).select("bucket", "term", "df", "idf", F.col("id").alias("cand_id"), "seq")
+
+
+def sparse_search(refs: DataFrame, index: DataFrame, k: int = DEFAULTS.top_k, query_terms: int = DEFAULTS.max_query_terms, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Retrieval from a sparse_index over the array column `terms` of refs.
+
+    A reference's terms weigh (1 + ln tf) * idf, scaled to unit length over the vocabulary; its `query_terms` rarest
+    terms scan their postings; a candidate scores the sum of the query's weights of the terms it shares.
+    """
+    if vocabulary is None:
+        vocabulary = index.groupBy("bucket", "term").agg(F.max("df").alias("df"), F.max("idf").alias("idf"))
     asked = refs.select("id", "bucket", F.explode("terms").alias("term")).groupBy("id", "bucket", "term").agg(F.count("*").alias("tf"))
     weighed = asked.join(vocabulary, ["bucket", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     weighed = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
     rare = top(weighed, ["id"], [F.col("df"), F.col("term")], query_terms).select(F.col("id").alias("ref_id"), "bucket", "term", "w")
-    indexed = held.join(vocabulary.select("bucket", "term", "df"), ["bucket", "term"])
-    short, long = indexed.where(F.col("df") <= scan), postings(indexed.where(F.col("df") > scan), ["bucket", "term"], scan)
-    index = short.unionByName(long).select("bucket", "term", F.col("id").alias("cand_id"), "seq")
-    summed = rare.join(index, ["bucket", "term"]).groupBy("ref_id", "cand_id", "seq").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
+    found = rare.join(index.select("bucket", "term", "cand_id", "seq"), ["bucket", "term"])
+    summed = found.groupBy("ref_id", "cand_id", "seq").agg(F.round(F.sum("w"), 9).alias("score")).where("score > 0")
     return top(summed, ["ref_id"], [F.desc("score"), F.col("seq")], k).select("ref_id", "cand_id", "score", "rank")
 
 
+def sparse_channel(refs: DataFrame, cands: DataFrame, k: int = DEFAULTS.top_k, min_df: int = DEFAULTS.word_min_df, max_df: float = DEFAULTS.word_max_df, query_terms: int = DEFAULTS.max_query_terms, scan: int = DEFAULTS.max_posting_scan, small_pool: int = 0) -> DataFrame:
+    """sparse_search in the sparse_index of cands."""
+    return sparse_search(refs, sparse_index(cands, min_df, max_df, scan, small_pool), k, query_terms)
+
+
 def word_channel(refs: DataFrame, cands: DataFrame, s: Settings = DEFAULTS, k: int | None = None, column: str = "text") -> DataFrame:
     terms = text.word_terms(text.filled(F.col(column)))
     return sparse_channel(refs.withColumn("terms", terms), cands.withColumn("terms", terms), k or s.top_k, s.word_min_df, s.word_max_df, s.max_query_terms, s.max_posting_scan)
@@ -133,17 +152,22 @@ def phonetic_keys(df: DataFrame) -> DataFrame:
 def phonetic_channel(refs: DataFrame, cands: DataFrame, k: int = DEFAULTS.top_k, s: Settings = DEFAULTS, small_pool: int = 50) -> DataFrame:
     """The best score of each candidate over the exact tiers and the sparse channel of phonetic codes.
 
-    Below small_pool candidates all codes count, however rare or frequent.
+    In buckets below small_pool candidates all codes count, however rare or frequent.
     """
     index = phonetic_keys(cands)
     capped = postings(index.where("kind != 'addr'"), ["bucket", "kind", "key"], s.exact_posting_cap).unionByName(postings(index.where("kind = 'addr'"), ["bucket", "kind", "key"], s.address_posting_cap))
     tiers = phonetic_keys(refs).select(F.col("id").alias("ref_id"), "bucket", "kind", "key", "score").join(capped.select("bucket", "kind", "key", F.col("id").alias("cand_id")), ["bucket", "kind", "key"]).select("ref_id", "cand_id", "score")
-    few = cands.limit(small_pool).count() < small_pool
-    sparse = sparse_channel(refs, cands, k, 1 if few else 2, 1.0 if few else s.phonetic_max_df, s.phonetic_query_terms, s.max_posting_scan).select("ref_id", "cand_id", "score")
+    sparse = sparse_channel(refs, cands, k, 2, s.phonetic_max_df, s.phonetic_query_terms, s.max_posting_scan, small_pool).select("ref_id", "cand_id", "score")
     best = tiers.unionByName(sparse).groupBy("ref_id", "cand_id").agg(F.max("score").alias("score"))
     return top(best, ["ref_id"], [F.desc("score"), F.col("cand_id")], k).select("ref_id", "cand_id", "score", "rank")
 
 
+def extra_channels(refs: DataFrame, cands: DataFrame, k: int = DEFAULTS.top_k, query_terms: int = 25, scan: int = 50_000) -> DataFrame:
+    """Lists of three further sparse channels: words of the address, its character 3- to 5-grams, and phonetic codes of the name (column codes)."""
+    terms = {"addr_word": text.word_terms(text.filled(F.col("addr_norm"))), "addr_char": text.char_terms(text.filled(F.col("addr_norm")), 3, 5), "name_codes": F.col("codes")}
+    return union_channels(**{name: sparse_channel(refs.withColumn("terms", t), cands.withColumn("terms", t), k, query_terms=query_terms, scan=scan) for name, t in terms.items()})
+
+
 def union_channels(**channels: DataFrame) -> DataFrame:
     """(ref_id, channel, cand_id, score, rank) of several channels."""
     parts = [df.select("ref_id", F.lit(name).alias("channel"), "cand_id", F.col("score").cast("double").alias("score"), "rank") for name, df in channels.items()]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.config import DEFAULTS, Settings
+from kinweave.operators.common import top
 from kinweave.operators.fusion import over_grid
 
 
@@ -133,6 +134,40 @@ def open_set_grid(scores: DataFrame, refs: DataFrame, truth: DataFrame, boosts=(
     return _macro_over(["boost", "veto"], over_grid(over_grid(one, "boost", boosts), "veto", vetoes), refs, truth, kept)
 
 
+def tune_open_set(scores: DataFrame, refs: DataFrame, truth: DataFrame, boosts=(0.0, 0.1, 0.2), vetoes=(0.0, 0.3, 0.5, 0.6, 0.7), **thresholds: float) -> DataFrame:
+    """(held, boost, veto, macro_f05): each labelled bucket in turn held out and treated as open, over the grid.
+
+    Both parameters touch open references alone, so a bucket's own references are all that counts.
+    """
+    labelled = [r["bucket"] for r in refs.where(~F.col("is_open")).select("bucket").distinct().orderBy("bucket").collect()]
+    out = None
+    for name in labelled:
+        part = refs.where(F.col("bucket") == name)
+        own = part.select("ref_id")
+        grid = open_set_grid(scores.join(own, "ref_id", "left_semi"), part, truth.join(own, "ref_id", "left_semi"), boosts, vetoes, **thresholds).select(F.lit(name).alias("held"), "boost", "veto", "macro_f05")
+        out = grid if out is None else out.unionByName(grid)
+    return out
+
+
+def choose_open_set(grid: DataFrame, boost: float = DEFAULTS.boost, veto: float = DEFAULTS.veto) -> dict[str, dict[str, float]]:
+    """For each held bucket the first best policy in grid order, the default's score and what is gained on it."""
+    out: dict[str, dict[str, float]] = {}
+    for r in sorted(grid.collect(), key=lambda r: (r["held"], r["boost"], r["veto"])):  # buckets times the grid
+        best = out.setdefault(r["held"], {"macro_f05": -1.0, "default": 0.0})
+        if round(r["macro_f05"], 12) > round(best["macro_f05"], 12):
+            best |= {"boost": r["boost"], "veto": r["veto"], "macro_f05": r["macro_f05"]}
+        if (r["boost"], r["veto"]) == (boost, veto):
+            best["default"] = r["macro_f05"]
+    return {k: v | {"improvement": v["macro_f05"] - v["default"]} for k, v in out.items()}
+
+
+def compare(scores: DataFrame, refs: DataFrame, truth: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(rule, a, b, macro_f05): the first best setting of thresholds (tau_match, tau_s) and of expected F0.5 (recall_hat, tau_floor)."""
+    one = decide_grid(scores, refs, truth, s).select(F.lit("thresholds").alias("rule"), F.col("tau_match").alias("a"), F.col("tau_s").alias("b"), "macro_f05")
+    two = expected_grid(scores, refs, truth, s).select(F.lit("expected").alias("rule"), F.col("recall_hat").alias("a"), F.col("tau_floor").alias("b"), "macro_f05")
+    return top(one.unionByName(two).withColumn("f", F.round("macro_f05", 12)), ["rule"], [F.desc("f"), F.col("a"), F.col("b")], 1).select("rule", "a", "b", "macro_f05")
+
+
 def tune_expected(scores: DataFrame, refs: DataFrame, truth: DataFrame, s: Settings = DEFAULTS) -> tuple[float, dict[str, float], float]:
     """(tau_floor, recall_hat of each bucket, recall_hat for all): first the best pair for all references, then for each
     bucket without open references the recall_hat that suits it best, smaller values first on ties.

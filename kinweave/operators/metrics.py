@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinweave.config import DEFAULTS
 from kinweave.operators.common import ratio
+from kinweave.sources.folders import checkpoint
 
 
 def f_beta(p: Column, r: Column, beta: float = 0.5) -> Column:
@@ -72,6 +73,15 @@ def recall_at(ranked: DataFrame, truth: DataFrame, cuts=(1, 3, 5, 10, 20, 50)) -
     return total.join(hits, "n", "left").select("n", F.coalesce("hits", F.lit(0)).alias("hits"), "pairs").withColumn("recall", ratio(F.col("hits"), F.col("pairs")))
 
 
+def recall_by(ranked: DataFrame, truth: DataFrame, groups: DataFrame, cuts=(5, 10, 20, 50)) -> DataFrame:
+    """(group, n, hits, pairs, recall) for each cut and each group of the true candidates, and for all as `overall`; groups: cand_id, group."""
+    pairs = truth.distinct().join(groups.select("cand_id", "group"), "cand_id")
+    pairs = pairs.withColumn("group", F.explode(F.array(F.col("group"), F.lit("overall"))))
+    spread = pairs.groupBy("group").agg(F.count("*").alias("pairs")).withColumn("n", F.explode(F.array(*map(F.lit, cuts))))
+    hits = pairs.join(ranked.select("ref_id", "cand_id", "rank"), ["ref_id", "cand_id"]).withColumn("n", F.explode(F.array(*map(F.lit, cuts)))).where("rank <= n").groupBy("group", "n").agg(F.count("*").alias("hits"))
+    return spread.join(hits, ["group", "n"], "left").select("group", "n", F.coalesce("hits", F.lit(0)).alias("hits"), "pairs").withColumn("recall", ratio(F.col("hits"), F.col("pairs")))
+
+
 def first_hit_rank(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """References with a hit, and the mean rank of their first."""
     first = ranked.join(truth.distinct(), ["ref_id", "cand_id"]).groupBy("ref_id").agg(F.min("rank").alias("first"))
@@ -110,6 +120,7 @@ def auc(scores: DataFrame) -> DataFrame:
     ranges, so no task holds all rows.
     """
     per = scores.groupBy("prob").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("n"))
+    per = checkpoint(per)  # read twice
     cell = F.floor(F.col("prob") * 1024).cast("long")
     blocks = per.groupBy(cell.alias("cell")).agg(F.sum(F.col("n") - F.col("pos")).alias("neg"))  # bounded by the cells
     before = F.coalesce(F.sum("neg").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -113,6 +113,15 @@ def apply_knots(p: Column, points: list[tuple[float, float]]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(p <= points[0][0], points[0][1]).otherwise(out)))
 
 
+def apply_knots_joined(p: Column, points: list[tuple[float, float]]) -> Column:
+    """apply_knots for many knots: two array literals and a search, in place of a nested case for each."""
+    xs, ys = (F.array(*[F.lit(float(v)) for v in z]) for z in zip(*points, strict=True))
+    at = F.size(F.filter(xs, lambda x: x <= p))  # knots at or below
+    x0, y0, x1, y1 = F.get(xs, at - 1), F.get(ys, at - 1), F.get(xs, at), F.get(ys, at)
+    line = F.when((at == F.size(xs)) | (x1 == x0), y0).otherwise(y0 + (p - x0) * (y1 - y0) / (x1 - x0))
+    return F.when(at == 0, F.get(ys, F.lit(0))).otherwise(line)
+
+
 def calibrate_out_of_fold(df: DataFrame, prob: str = "oof_prob", n: int = DEFAULTS.folds) -> DataFrame:
     """df with calibrated_prob: each fold by the isotonic fit of the others."""
     folded, parts = pairing.folds(df, n), []
@@ -130,6 +139,18 @@ def adopt_calibration(ece_raw: float, ece_new: float, f_raw: float, f_new: float
     return ece_raw - ece_new >= least_gain and f_new >= f_raw - slack
 
 
+def calibration_sizes(df: DataFrame, least: int = 20) -> list[str]:
+    """The buckets with enough rows for a calibration of their own."""
+    return [r["bucket"] for r in df.groupBy("bucket").count().where(F.col("count") >= least).orderBy("bucket").collect()]
+
+
+def choose_calibration(options: dict[str, tuple[float, float]], least_gain: float = 0.005, slack: float = 1e-6) -> str:
+    """Of (ece, macro F0.5) of `none` and others, the one with the least error among those that pay, else `none`."""
+    ece, f = options["none"]
+    good = [k for k, (e, x) in options.items() if k != "none" and adopt_calibration(ece, e, f, x, least_gain, slack)]
+    return min(good, key=lambda k: (options[k][0], k), default="none")
+
+
 def calibrate_by_bucket(df: DataFrame, points: dict[str, list[tuple[float, float]]], prob: str = "prob") -> DataFrame:
     """Each bucket by its own knots; raw scores where a bucket has none."""
     out = F.col(prob)

@@ -23,7 +23,7 @@ def normalise(raw: DataFrame) -> DataFrame:
     df = df.withColumn("name_clean", arrow.clean_text(c("name_nfkc"), c("script_type"))).withColumn("addr_clean", arrow.clean_text(c("addr_raw"), c("script_type")))
     df = bound(df, name_tokens=text.expand(text.tokens(F.lower(text.punctuation(c("name_clean")))), c("country_norm")), addr_tokens=text.tokens(F.lower(text.punctuation(c("addr_clean")))))
     df = df.withColumn("name_phonetic", F.when(c("script_type") == "latin", arrow.metaphones(c("name_tokens"))).otherwise(F.array().cast("array<string>")))
-    df = bound(df, name_legal_suffix=text.legal_suffix(c("name_tokens"), c("country_norm")), addr_norm=F.array_join("addr_tokens", " "), place=address.place(c("addr_tokens"), c("country_norm")))
+    df = bound(df, name_legal_suffix=text.legal_suffix(c("name_tokens"), c("country_norm")), addr_norm=F.array_join("addr_tokens", " ")).withColumn("place", address.place(c("addr_tokens"), c("country_norm")))
     df = bound(df, core=text.without_stopwords(text.without_suffix(c("name_tokens"), c("name_legal_suffix"))), addr_postal=address.postal(c("addr_norm"), c("country_norm")), addr_state=c("place.state"))
     df = bound(df, addr_city=F.when(c("place.city") == "", address.city_after_postal(c("addr_tokens"), c("addr_postal"))).otherwise(c("place.city")))
     return df.select(

@@ -9,6 +9,10 @@ from kinweave.config import DEFAULTS, Settings
 from kinweave.operators.common import top
 
 
+#: Cells of a range of hashes.
+CELLS = 4096
+
+
 def spread(number: Column) -> Column:
     """A multiplicative hash of a non-negative whole number to 0 .. 2**32 - 1, the same in any SQL engine."""
     return (F.pmod(number, F.lit(1 << 30)) * F.lit(2654435761)) % F.lit(1 << 32)
@@ -21,12 +25,26 @@ def hashed(*ids: Column, seed: int = DEFAULTS.seed) -> Column:
 def split(refs: DataFrame, share: float = 0.2, key: Column | None = None) -> DataFrame:
     """refs with the column split: `val` for the share of the references whose hash is smallest, rounded down, else `train`.
 
-    Exact counts come from the share's quantile of the hashes, ties by id.
+    Ties go by id. The hashes' range is cut into CELLS equal cells, whose counts tell the cell where the share ends; only
+    that cell's references are ranked.
     """
     h = hashed(F.col("ref_id")) if key is None else key
-    n = int(refs.count() * share)
-    val = refs.select("ref_id", h.alias("h")).orderBy("h", "ref_id").limit(n).select("ref_id").withColumn("val", F.lit(True))
-    return refs.join(val, "ref_id", "left").withColumn("split", F.when(F.col("val"), "val").otherwise("train")).drop("val")
+    rows = refs.withColumn("__h", h)
+    total, low, high = rows.agg(F.count("*"), F.min("__h"), F.max("__h")).first()
+    n, span = int(total * share), float((high or 0) - (low or 0) + 1)
+    cell = F.floor((F.col("__h").cast("double") - F.lit(float(low or 0))) / F.lit(span) * CELLS)
+    rows = rows.withColumn("__cell", cell)
+    left, last = n, None
+    for r in sorted(rows.groupBy("__cell").count().collect(), key=lambda r: r["__cell"]):  # about CELLS rows at most
+        if left < r["count"]:
+            last = r["__cell"]
+            break
+        left -= r["count"]
+    if last is None:
+        return refs.withColumn("split", F.lit("val" if n else "train"))
+    edge = rows.where(F.col("__cell") == last).select("ref_id", "__h").orderBy("__h", "ref_id").limit(left).select("ref_id").withColumn("__val", F.lit(True))
+    val = (F.col("__cell") < last) | F.coalesce("__val", F.lit(False))
+    return rows.join(edge, "ref_id", "left").withColumn("split", F.when(val, "val").otherwise("train")).drop("__h", "__cell", "__val")
 
 
 def sample_references(refs: DataFrame, n: int, key: Column | None = None) -> DataFrame:
@@ -84,5 +102,25 @@ def without_hard(pairs: DataFrame) -> DataFrame:
     return pairs.where("neg_type != 'hard'")
 
 
+def without_easy(pairs: DataFrame) -> DataFrame:
+    return pairs.where("neg_type != 'easy'")
+
+
 def summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("neg_type").agg(F.count("*").alias("n_pairs"), F.count_distinct("ref_id").alias("n_refs"), F.sum("label").alias("n_positive"))
+
+
+def attach_signals(pairs: DataFrame, signals: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with the columns of a stored table of signals by (ref_id, cand_id).
+
+    Raises if the tables have drifted apart: if a pair lacks its row, or the stored table has a pair twice.
+    """
+    keys = ["ref_id", "cand_id"]
+    own = signals.select(*keys, *columns)
+    if not own.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError("the stored signals have a pair twice")
+    missing = pairs.select(*keys).join(own.select(*keys), keys, "left_anti")
+    if not missing.isEmpty():
+        r = missing.first()
+        raise ValueError(f"the stored signals lack pairs, such as {r['ref_id']} and {r['cand_id']}: they belong to other lists")
+    return pairs.join(own, keys)

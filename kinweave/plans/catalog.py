@@ -1,43 +1,26 @@
 """The catalogue: every query by name, with the SQL that gives the same rows where SQL can express it.
 
-Floats are rounded to six places on both sides. Queries without SQL are tested against brute force.
+Floats are rounded to six places on both sides. The queries without SQL (trained models, approximate neighbours and what
+needs phonetic codes) are tested in tests/test_models.py, by recall or against plain code.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions import address, arrow, lists, text
 from kinweave.operators import audit, blocking, decision, dense, features, fusion, metrics, models, normalise, pairs
 from kinweave.plans import linkage, views
+from kinweave.plans.registry import QUERIES, SQL, query, r6, with_
+from kinweave.plans.registry import rounded as _rounded
+from kinweave.plans.registry import words as _words
 from kinweave.sources import sinks
+from kinweave.sources.folders import checkpoint, stored
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 V = views
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
-
-
-def r6(c, name: str):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
 # scans, audit and profiles
 
 
@@ -63,9 +46,7 @@ def gt_cardinality(spark, d):
 
 @query(with_(V.REC) + "SELECT count(*) AS pairs, sum(CASE WHEN a.bucket <> b.bucket THEN 1 ELSE 0 END)::BIGINT AS mismatched FROM rec a JOIN rec b ON a.text = b.text WHERE a.src = 1 AND b.src > 1")
 def gt_bucket_mismatch(spark, d):
-    rec = V.records(spark, d)
-    same = rec.where("src = 1").select(F.col("entity_id").alias("ref_id"), "text").join(rec.where("src > 1").select(F.col("entity_id").alias("cand_id"), "text"), "text").select("ref_id", "cand_id")
-    return audit.bucket_mismatch(rec, same)
+    return audit.twin_mismatch(V.records(spark, d), "text")
 
 
 @query(r"""SELECT lang, count(*) AS n, round(avg(c), 6) AS mean_chars, median(c)::DOUBLE AS median_chars, max(c)::DOUBLE AS max_chars, round(avg(w), 6) AS mean_words, median(w)::DOUBLE AS median_words, max(w)::DOUBLE AS max_words
@@ -93,10 +74,6 @@ def norm_digit_runs(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.digit_runs(F.col("text"))), ",").alias("runs"))
 
 
-def _words(items) -> str:
-    return ", ".join(f"'{x}'" for x in items)
-
-
 @query(with_(V.REC) + f"SELECT entity_id, array_to_string(CASE WHEN len(k) = 0 THEN toks ELSE k END, ' ') AS kept FROM (SELECT entity_id, toks, list_filter(toks, lambda t: t NOT IN ({_words(lists.STOPWORDS)})) AS k FROM rec)")
 def norm_stopwords(spark, d):
     return V.records(spark, d).select("entity_id", F.array_join(text.without_stopwords(F.col("toks")), " ").alias("kept"))
@@ -144,15 +121,17 @@ def norm_legal_suffix(spark, d):
     return _company(spark, d).select("entity_id", s.alias("suffix"), F.array_join(text.without_suffix(F.col("w"), s), " ").alias("core"))
 
 
-@query(with_(V.REC) + "SELECT entity_id, strip_accents(name_core) AS plain FROM rec WHERE regexp_full_match(name_core, '[\\x00-\\x{24F}]*')")
+@query(with_(V.REC) + "SELECT entity_id, strip_accents(name_core) AS plain FROM rec")
 def norm_accents(spark, d):
-    return V.records(spark, d).where(F.col("name_core").rlike(r"^[\x00-ɏ]*$")).select("entity_id", arrow.without_accents(F.col("name_core")).alias("plain"))
+    return V.records(spark, d).select("entity_id", arrow.without_accents(F.col("name_core")).alias("plain"))
+
 
+INDIC = r"regexp_extract(text, '[\x{0900}-\x{097F}\x{0B80}-\x{0BFF}\x{0C00}-\x{0CFF}]')"
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{0900}-\x{097F}]') THEN 'devanagari' WHEN regexp_matches(text, '[A-\x{24F}]') THEN 'latin' ELSE 'other' END AS script FROM documents WHERE NOT regexp_matches(text, '[\x{0B80}-\x{0CFF}]')")
+
+@query(rf"SELECT doc_id, CASE WHEN c BETWEEN chr(2304) AND chr(2431) THEN 'devanagari' WHEN c BETWEEN chr(2944) AND chr(3071) THEN 'tamil' WHEN c BETWEEN chr(3072) AND chr(3199) THEN 'telugu' WHEN c BETWEEN chr(3200) AND chr(3327) THEN 'kannada' WHEN regexp_matches(text, '[A-\x{{24F}}]') THEN 'latin' ELSE 'other' END AS script FROM (SELECT doc_id, text, {INDIC} AS c FROM documents)")
 def detect_script(spark, d):
-    docs = V.read(spark, d, "documents").where(~F.col("text").rlike("[஀-೿]"))
-    return docs.select("doc_id", text.script(F.col("text")).alias("script"))
+    return V.read(spark, d, "documents").select("doc_id", text.script(F.col("text")).alias("script"))
 
 
 ADDRESS = r"addr AS (SELECT entity_id, toks || [CASE doc_id % 3 WHEN 0 THEN 'springfield' ELSE 'street' END, CASE doc_id % 4 WHEN 0 THEN 'il' WHEN 1 THEN 'tx' ELSE 'zz' END, (10000 + doc_id)::VARCHAR] AS w FROM rec)"
@@ -186,7 +165,14 @@ def addr_state_city(spark, d):
     return _addresses(spark, d).select("entity_id", address.place(F.col("w"), F.lit("us")).alias("place")).select("entity_id", "place.state", "place.city")
 
 
-@query()
+CODES = "translate(regexp_replace(upper(t), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230127022455012623017202')"
+BARE = f"({CODES}[1] || replace({CODES}[2:], '7', ''))"
+ONCE = "regexp_replace(" * 6 + BARE + "".join(f", '{x}+', '{x}', 'g')" for x in range(1, 7))
+#: Non-ASCII letters are no letters here, as for the function that Spark has.
+SOUNDEX = f"CASE WHEN regexp_matches(t, '^[A-Za-z]') THEN upper(t[1]) || rpad(replace(substr({ONCE}, 2), '0', '')[1:3], 3, '0') ELSE '' END"
+
+
+@query(with_(V.REC) + f"SELECT entity_id, array_to_string(list_transform(list_filter(string_split(name_core, ' '), lambda t: t <> ''), lambda t: {SOUNDEX}), ' ') AS codes FROM rec")
 def soundex_codes(spark, d):
     return V.records(spark, d).select("entity_id", F.array_join(F.transform(text.tokens(F.col("name_core")), arrow.soundex), " ").alias("codes"))
 
@@ -265,7 +251,7 @@ def block_dense_ivf(spark, d):
 
 
 def _lists(spark, d):
-    return linkage.channels(*V.sides(spark, d))
+    return linkage.stored_lists(spark, d)
 
 
 def rrf_sql(k: str, source: str = "lists", name: str = "fused") -> str:
@@ -301,8 +287,11 @@ CUT = "cut AS (SELECT * FROM (SELECT *, greatest(6, least(12, sum(CASE WHEN scor
 
 
 def _coarse(spark, d):
-    every = _lists(spark, d)
-    return fusion.coarse(fusion.rrf(every, 10), every, 3)
+    def build():
+        every = _lists(spark, d)
+        return fusion.coarse(fusion.rrf(every, 10), every, 3)
+
+    return stored(spark, "coarse", [f"{d}/documents.parquet"], build)
 
 
 @query(with_(V.CHANNELS, rrf_sql("10"), COARSE, CUT) + "SELECT ref_id, cand_id, round(score, 6) AS score, rank::INTEGER AS rank FROM cut")
@@ -330,10 +319,6 @@ PER = """per AS (SELECT c.channel, r.ref_id, r.bucket, (SELECT count(*) FROM g W
 PLAIN, MERGED = ("l AS (SELECT DISTINCT channel, ref_id, cand_id FROM lists)", "g AS (SELECT DISTINCT * FROM gt)"), ("l AS (SELECT DISTINCT 'union' AS channel, ref_id, cand_id FROM lists)", "g AS (SELECT DISTINCT * FROM gt)")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
-
-
 @query(with_(V.CHANNELS, V.GT, V.REFS, *PLAIN, PER) + STATS.format(k="channel,", g="GROUP BY channel"))
 def channel_stats(spark, d):
     return _rounded(metrics.channel_stats(V.references(spark, d), V.truth(spark, d), _lists(spark, d)))
@@ -364,7 +349,8 @@ def oracle_f05_at_k(spark, d):
     return _rounded(metrics.oracle_f05(V.references(spark, d), fusion.rrf(_lists(spark, d), 10), V.truth(spark, d)))
 
 
-@query()
+@query(with_(V.CHANNELS, V.GT, V.REFS, "g AS (SELECT unnest([10.0, 20.0, 40.0, 60.0])::DOUBLE AS k)", "f AS (SELECT k, ref_id, cand_id, round(sum(1.0::DOUBLE / (k + rank)), 12) AS score FROM lists, g GROUP BY ALL)", "h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, ref_id ORDER BY score DESC, cand_id) AS rank FROM f) WHERE rank <= 5)",
+             "per AS (SELECT bucket, k, count(*) AS hits FROM h JOIN (SELECT DISTINCT * FROM gt) USING (ref_id, cand_id) JOIN refs USING (ref_id) GROUP BY bucket, k)") + "SELECT bucket, coalesce(k, 10) AS k FROM (SELECT DISTINCT bucket FROM refs) LEFT JOIN (SELECT bucket, k FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY hits DESC, k) AS place FROM per) WHERE place = 1) USING (bucket)")
 def rrf_k_by_bucket(spark, d):
     """The k that each bucket would be fused with."""
     best = fusion.tune_rrf(_lists(spark, d), V.truth(spark, d), V.references(spark, d), 5)
@@ -414,11 +400,11 @@ def features_sets(spark, d):
     return f.select("ref_id", "cand_id", F.col("ret_candidate_rank").cast("int").alias("rank"), *map(four, ("addr_token_jaccard", "addr_char3_jaccard", "addr_postal_exact", "ret_rank_inverse", "struct_addr_len_ratio")))
 
 
-@query(with_(V.REC, V.EXACT, FEATURE_PAIRS) + "SELECT ref_id, cand_id, round(jaro_winkler_similarity(aa, ab), 4) AS jaro_winkler, levenshtein(aa, ab)::INTEGER AS edits FROM (SELECT ref_id, cand_id, replace(strip_accents(aa), 'ß', 'ss') AS aa, replace(strip_accents(ab), 'ß', 'ss') AS ab FROM fp WHERE aa <> '' AND ab <> '')")
+@query(with_(V.REC, V.EXACT, FEATURE_PAIRS) + "SELECT ref_id, cand_id, CASE WHEN aa = '' OR ab = '' THEN 0 ELSE round(jaro_winkler_similarity(aa, ab), 4) END AS jaro_winkler, levenshtein(aa, ab)::INTEGER AS edits FROM (SELECT ref_id, cand_id, replace(strip_accents(aa), 'ß', 'ss') AS aa, replace(strip_accents(ab), 'ß', 'ss') AS ab FROM fp)")
 def feature_jaro_winkler(spark, d):
     # without accents: the SQL functions count bytes
     rec = V.records(spark, d).select("entity_id", F.replace(arrow.without_accents(F.col("addr_norm")), F.lit("ß"), F.lit("ss")).alias("addr_norm"))
-    p = blocking.exact_channel(*V.sides(spark, d)).select("ref_id", "cand_id").join(rec.select(F.col("entity_id").alias("ref_id"), F.col("addr_norm").alias("aa")), "ref_id").join(rec.select(F.col("entity_id").alias("cand_id"), F.col("addr_norm").alias("ab")), "cand_id").where("aa != '' and ab != ''")
+    p = blocking.exact_channel(*V.sides(spark, d)).select("ref_id", "cand_id").join(rec.select(F.col("entity_id").alias("ref_id"), F.col("addr_norm").alias("aa")), "ref_id").join(rec.select(F.col("entity_id").alias("cand_id"), F.col("addr_norm").alias("ab")), "cand_id")
     sims = arrow.string_similarities(F.col("aa"), F.col("ab"), F.lit(""), F.lit(""))
     return p.select("ref_id", "cand_id", F.round(sims["name_jaro_winkler"], 4).alias("jaro_winkler"), F.levenshtein("aa", "ab").alias("edits"))
 
@@ -460,18 +446,21 @@ def _sampled(spark, d):
 
 
 def _sampled_features(spark, d):
-    """Features of sampled pairs on normalised records. The tables hold no vectors of records, so dense_score stays 0."""
-    raw = V.records(spark, d).select("entity_id", F.col("name_core").alias("business_name"), F.col("addr_norm").alias("business_address"), F.col("bucket").alias("country"))
-    numbers = V.records(spark, d).select("entity_id", "addr_postal", "addr_house_number")
-    full = normalise.normalise(raw).drop("addr_postal", "addr_house_number").join(numbers, "entity_id").persist()
-    full = features.with_weights(full, features.idf_table(full), full.count())
-    lists_ = _lists(spark, d).persist()
-    fused, found = fusion.rrf(lists_, 10).select("ref_id", "cand_id", F.col("score").alias("rrf_score")), fusion.agreement(lists_, 3).withColumnRenamed("agreement", "channel_agreement")
-    sounds = blocking.phonetic_channel(*(blocking.phonetic_columns(x, "name_core", "addr_norm") for x in V.sides(spark, d))).select("ref_id", "cand_id", F.col("score").alias("phon_score"))
-    rows = _sampled(spark, d)
-    for signal in (fused, found, sounds):
-        rows = rows.join(signal, ["ref_id", "cand_id"], "left")
-    return features.features(rows, full)
+    """Features of sampled pairs on normalised records, made once in a session. The tables hold no vectors of records, so dense_score stays 0."""
+    def build():
+        raw = V.records(spark, d).select("entity_id", F.col("name_core").alias("business_name"), F.col("addr_norm").alias("business_address"), F.col("bucket").alias("country"))
+        numbers = V.records(spark, d).select("entity_id", "addr_postal", "addr_house_number")
+        full = checkpoint(normalise.normalise(raw).drop("addr_postal", "addr_house_number").join(numbers, "entity_id"))
+        full = checkpoint(features.with_weights(full, features.idf_table(full), full.count()))
+        lists_ = _lists(spark, d)
+        fused, found = fusion.rrf(lists_, 10).select("ref_id", "cand_id", F.col("score").alias("rrf_score")), fusion.agreement(lists_, 3).withColumnRenamed("agreement", "channel_agreement")
+        sounds = blocking.phonetic_channel(*(blocking.phonetic_columns(x, "name_core", "addr_norm") for x in V.sides(spark, d))).select("ref_id", "cand_id", F.col("score").alias("phon_score"))
+        rows = checkpoint(_sampled(spark, d))
+        for signal in (fused, found, sounds):
+            rows = rows.join(signal, ["ref_id", "cand_id"], "left")
+        return features.features(rows, full)
+
+    return stored(spark, "sampled-features", [f"{d}/documents.parquet"], build)
 
 
 SAMPLE = ("fl AS (SELECT * FROM fused WHERE rank <= 50)", "g AS (SELECT DISTINCT * FROM gt)", "m AS (SELECT fl.*, CASE WHEN g.ref_id IS NULL THEN 0 ELSE 1 END AS label FROM fl LEFT JOIN g USING (ref_id, cand_id))",
@@ -547,7 +536,18 @@ def decision_v2(spark, d):
     return decision.decide_expected(_scored(spark, d), _refs(spark, d))
 
 
-@query()
+HATS = "unnest([0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 1.0])::DOUBLE"
+V2_GRID = (f"hq AS (SELECT pk.ref_id, cand_id, prob, recall_hat FROM pk, (SELECT {HATS} AS recall_hat))",
+           "q AS (SELECT *, row_number() OVER o AS k, sum(prob) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(prob) OVER (PARTITION BY recall_hat, ref_id) / recall_hat AS tot, round(product(1 - prob) OVER (PARTITION BY recall_hat, ref_id), 12) AS e_none FROM hq WINDOW o AS (PARTITION BY recall_hat, ref_id ORDER BY prob DESC, cand_id))",
+           "e AS (SELECT *, round(1.25::DOUBLE * (run / k) * r / (0.25::DOUBLE * (run / k) + r + 1e-12::DOUBLE), 12) AS e_f FROM (SELECT *, CASE WHEN tot > 0 THEN run / tot ELSE 0 END AS r FROM q))",
+           "b AS (SELECT *, min(CASE WHEN e_f = top_f THEN k END) OVER (PARTITION BY recall_hat, ref_id) AS cut FROM (SELECT *, max(e_f) OVER (PARTITION BY recall_hat, ref_id) AS top_f FROM e))",
+           "fl AS (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.5])::DOUBLE AS tau_floor)", f"par AS (SELECT recall_hat, tau_floor FROM (SELECT {HATS} AS recall_hat), fl)", "g AS (SELECT DISTINCT * FROM gt)",
+           "hp AS (SELECT recall_hat, tau_floor, b.ref_id, count(*) AS p, count(g.cand_id) AS h FROM (SELECT * FROM b, fl WHERE top_f > e_none AND k <= cut AND prob >= tau_floor) b LEFT JOIN g ON g.ref_id = b.ref_id AND g.cand_id = b.cand_id GROUP BY recall_hat, tau_floor, b.ref_id)",
+           "tt AS (SELECT ref_id, count(*) AS t FROM g GROUP BY ref_id)")
+V2_MACRO = f"SELECT recall_hat, tau_floor, round(avg({F05}), 6) AS macro_f05 FROM (SELECT recall_hat, tau_floor, r.ref_id, coalesce(t, 0) AS t, coalesce(p, 0) AS p, coalesce(h, 0) AS h FROM refs r CROSS JOIN par LEFT JOIN tt USING (ref_id) LEFT JOIN hp USING (recall_hat, tau_floor, ref_id)) GROUP BY recall_hat, tau_floor"
+
+
+@query(with_(V.SCORED, PEAK, *V2_GRID) + V2_MACRO)
 def decision_v2_grid(spark, d):
     return _rounded(decision.expected_grid(_scored(spark, d), _refs(spark, d), V.truth(spark, d)))
 
@@ -576,16 +576,13 @@ def score_quantiles(spark, d):
 # evaluation
 
 EVAL = "ev AS (SELECT r.ref_id, r.bucket, (SELECT count(*) FROM (SELECT DISTINCT * FROM gt) g WHERE g.ref_id = r.ref_id) AS t, (SELECT count(*) FROM pred WHERE pred.ref_id = r.ref_id) AS p, (SELECT count(*) FROM pred JOIN (SELECT DISTINCT * FROM gt) g USING (ref_id, cand_id) WHERE ref_id = r.ref_id) AS h FROM refs r)"
-NAMES = "pred AS (SELECT DISTINCT a.entity_id AS ref_id, b.entity_id AS cand_id FROM rec a JOIN rec b USING (bucket, name_core) WHERE a.src = 1 AND b.src > 1 AND name_core <> '')"
+NAMES = "pred AS (SELECT DISTINCT ref_id, cand_id FROM exact)"
 MACRO = f"SELECT count(*) AS n_refs, round(avg(f), 6) AS macro_f05, round(coalesce(avg(f) FILTER (t = 0), 0), 6) AS singleton_f05, round(coalesce(avg(f) FILTER (t > 0), 0), 6) AS match_f05, count(*) FILTER (t = 0) AS n_singletons FROM (SELECT *, {F05} AS f FROM ev)"
 
 
-@query(with_(V.REC, V.REFS, V.GT, NAMES, EVAL) + MACRO)
+@query(with_(V.REC, V.EXACT, V.REFS, V.GT, NAMES, EVAL) + MACRO)
 def macro_f05(spark, d):
-    refs, cands = V.sides(spark, d)
-    key = ["bucket", "name_core"]
-    met = refs.where("name_core != ''").select(F.col("id").alias("ref_id"), *key).join(cands.select(F.col("id").alias("cand_id"), *key), key)
-    return _rounded(metrics.macro_f05(V.references(spark, d), V.truth(spark, d), met.select("ref_id", "cand_id")))
+    return _rounded(metrics.macro_f05(V.references(spark, d), V.truth(spark, d), blocking.exact_channel(*V.sides(spark, d))))
 
 
 @query(with_(V.SCORED, PEAK, DECIDED, EVAL) + MACRO)
@@ -638,10 +635,16 @@ def isotonic_apply(spark, d):
     return _scored(spark, d).select("ref_id", "cand_id", F.round(models.apply_knots(F.col("prob"), KNOTS), 9).alias("calibrated"))
 
 
-@query()
+ISOTONIC = ("d AS (SELECT prob, count(*) AS w, sum(label) AS s FROM lb GROUP BY prob)", "o AS (SELECT *, row_number() OVER (ORDER BY prob) AS i, sum(s) OVER (ORDER BY prob) AS cs, sum(w) OVER (ORDER BY prob) AS cw FROM d)",
+            "ij AS (SELECT a.i, b.i AS j, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM o a JOIN o b ON b.i >= a.i)", "mn AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS low FROM ij)", "fit AS (SELECT j, max(low) AS y FROM mn GROUP BY j)")
+
+
+@query(with_(V.SCORED, LABELLED, *ISOTONIC) + "SELECT prob, round(y, 6) AS fitted FROM fit JOIN o ON o.i = fit.j")
 def isotonic_fit(spark, d):
-    points = models.knots(models.fit_isotonic(_labelled(spark, d)))
-    return spark.createDataFrame(points, "score double, probability double")
+    """The fitted probability at every score; the SQL has it as the largest of the smallest means about a score."""
+    rows = _labelled(spark, d).persist()
+    points = models.knots(models.fit_isotonic(rows))
+    return rows.select("prob").distinct().select("prob", F.round(models.apply_knots_joined(F.col("prob"), points), 6).alias("fitted"))
 
 
 @query()
@@ -664,9 +667,9 @@ def missing_references(spark, d):
     return audit.missing_references(V.references(spark, d), blocking.exact_channel(*V.sides(spark, d)))
 
 
-@query(with_(V.REC, V.GT, V.WORD) + "SELECT DISTINCT ref_id, cand_id FROM gt WHERE NOT EXISTS (SELECT 1 FROM word w WHERE w.ref_id = gt.ref_id AND w.cand_id = gt.cand_id)")
+@query(with_(V.REC, V.GT, V.WORD) + "SELECT DISTINCT ref_id, cand_id FROM gt WHERE NOT EXISTS (SELECT 1 FROM word w WHERE w.ref_id = gt.ref_id AND w.cand_id = gt.cand_id AND w.rank = 1)")
 def missed_pairs(spark, d):
-    return audit.missed_pairs(V.truth(spark, d), blocking.word_channel(*V.sides(spark, d)))
+    return audit.missed_pairs(V.truth(spark, d), blocking.word_channel(*V.sides(spark, d), k=1))
 
 
 @query(with_(V.REC) + "SELECT count(*) AS pairs, count(DISTINCT a.name_core) AS keys FROM rec a JOIN rec b USING (name_core) WHERE a.src = 1 AND b.src <> 1")
@@ -689,3 +692,6 @@ def id_arithmetic(spark, d):
 def id_list_format(spark, d):
     return sinks.id_lists(V.references(spark, d), V.truth(spark, d))
 
+
+
+from kinweave.plans import catalog_rules, catalog_tables  # noqa: E402, F401  they register their queries

@@ -67,15 +67,15 @@ REFS = "refs AS (SELECT 'S1-' || doc_id AS ref_id, doc_id, lang AS bucket FROM d
 GT = "gt AS (SELECT a.entity_id AS ref_id, b.entity_id AS cand_id FROM rec a JOIN rec b ON a.bucket = b.bucket AND a.text = b.text WHERE a.src = 1 AND b.src > 1)"
 
 
-def sparse_sql(name: str, terms: str, query_terms: int = 12, min_df: int = 2, max_df: float = 0.05) -> str:
+def sparse_sql(name: str, terms: str, query_terms: int = 12, min_df: int = 2, max_df: float = 0.05, scan: int = 10_000, small_pool: int = 0) -> str:
     """CTEs of the sparse channel over terms(entity_id, src, seq, bucket, term), a row for each occurrence."""
     return f"""{name}_held AS (SELECT DISTINCT entity_id, bucket, seq, term FROM {terms} WHERE src > 1),
 {name}_n AS (SELECT bucket, count(*) AS n FROM rec WHERE src > 1 GROUP BY bucket),
-{name}_voc AS (SELECT h.bucket, term, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {name}_held h JOIN {name}_n USING (bucket) GROUP BY h.bucket, term, n HAVING count(*) >= {min_df} AND count(*) <= {max_df} * n),
+{name}_voc AS (SELECT h.bucket, term, count(*) AS df, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM {name}_held h JOIN {name}_n USING (bucket) GROUP BY h.bucket, term, n HAVING n < {small_pool} OR count(*) >= {min_df} AND count(*) <= {max_df} * n),
 {name}_tf AS (SELECT entity_id, bucket, term, count(*) AS tf FROM {terms} WHERE src = 1 GROUP BY ALL),
 {name}_w AS (SELECT entity_id AS ref_id, bucket, term, df, (1 + ln(tf)) * idf AS w FROM {name}_tf JOIN {name}_voc USING (bucket, term)),
 {name}_rare AS (SELECT * FROM (SELECT ref_id, bucket, term, w / sqrt(sum(w * w) OVER (PARTITION BY ref_id)) AS w, row_number() OVER (PARTITION BY ref_id ORDER BY df, term) AS place FROM {name}_w) WHERE place <= {query_terms}),
-{name}_post AS (SELECT * FROM (SELECT entity_id AS cand_id, bucket, term, seq, row_number() OVER (PARTITION BY bucket, term ORDER BY seq) AS place FROM {name}_held SEMI JOIN {name}_voc USING (bucket, term)) WHERE place <= 10000),
+{name}_post AS (SELECT * FROM (SELECT entity_id AS cand_id, bucket, term, seq, row_number() OVER (PARTITION BY bucket, term ORDER BY seq) AS place FROM {name}_held SEMI JOIN {name}_voc USING (bucket, term)) WHERE place <= {scan}),
 {name}_sum AS (SELECT ref_id, cand_id, seq, round(sum(w), 9) AS score FROM {name}_rare r JOIN {name}_post p USING (bucket, term) GROUP BY ALL),
 {name} AS (SELECT ref_id, cand_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY score DESC, seq) AS rank FROM {name}_sum WHERE score > 0) WHERE rank <= 50)"""
 

@@ -66,12 +66,41 @@ def read_candidates(spark: SparkSession, path: str, strict: bool = False) -> tup
     return df.select(F.col(names[0]).alias("ref_id")), pairs.withColumn("rank", F.col("rank") + 1)
 
 
-def scan_bucket(spark: SparkSession, path: str, bucket: str, columns: list[str]) -> DataFrame:
-    """Normalised records of one bucket, one row per id; the filter and the columns reach the Parquet scan."""
+def first_rows(df: DataFrame, key: str) -> DataFrame:
+    """A table's first row of each key, in the order of its files and of their rows."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    row = F.struct(*df.columns)
+    return df.select(row.alias("row"), place.alias("place")).groupBy(F.col(f"row.{key}").alias("key")).agg(F.min_by("row", "place").alias("row")).select("row.*")
+
+
+def scan_bucket(spark: SparkSession, path: str, bucket: str, columns: list[str], ids: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Normalised records of one bucket, the first row of each id; the filter and the columns reach the Parquet scan.
+
+    ids (entity_id) keeps only those; most keeps so many, the smallest ids.
+    """
     from kinweave.functions.lists import COUNTRY
 
     names = sorted({k for k, v in COUNTRY.items() if v == bucket} | {bucket})
-    return spark.read.parquet(path).where(F.col("country_norm").isin(*names)).select(*columns).dropDuplicates(["entity_id"])
+    rows = first_rows(spark.read.parquet(path).where(F.col("country_norm").isin(*names)).select(*dict.fromkeys(["entity_id", *columns])), "entity_id").select(*columns)
+    if ids is not None:
+        rows = lookup(rows, ids)
+    return rows if most is None else rows.orderBy("entity_id").limit(most)
+
+
+def reference_ids(records: DataFrame) -> DataFrame:
+    """(ref_id): the distinct ids of source 1."""
+    return records.where(F.col("entity_id").startswith("S1-")).select(F.col("entity_id").alias("ref_id")).distinct()
+
+
+def reference_metadata(records: DataFrame, refs: DataFrame) -> DataFrame:
+    """The columns that diagnostics group by, of the references (ref_id)."""
+    columns = ("entity_id", "country_norm", "name_norm", "name_core", "addr_norm", "script_type", "is_missing_addr")
+    return lookup(records.select(*columns), refs.select(F.col("ref_id").alias("entity_id")))
+
+
+def count_rows(spark: SparkSession, *paths: str) -> int:
+    """Rows of Parquet tables; no column is read, so the counts come from the files' footers."""
+    return sum(spark.read.parquet(p).count() for p in paths)
 
 
 def lookup(records: DataFrame, ids: DataFrame) -> DataFrame:
