@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.folders import checkpoint, make_folder, new_folder, remove_folder, shared_folder
+
+__all__ = ["checkpoint", "fresh", "make_folder", "new_folder", "prepare", "remove_folder", "shared_folder", "table", "text_or_empty"]
+
 #: Rows and bytes in an Arrow batch at most. Texts can be very long, so batches hold few rows; one long text is a batch.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 _shipped: set[str] = set()
@@ -41,37 +44,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir, with its scheme; a folder of our own where none is named, which only a local session may have."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = _path(spark, base)
-    full = _files(spark, path).makeQualified(path).toString().rstrip("/")
-    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
-
-
-def _path(spark: SparkSession, folder: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-
-
-def _files(spark: SparkSession, path):
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def make_folder(spark: SparkSession, folder: str) -> None:
-    path = _path(spark, folder)
-    _files(spark, path).mkdirs(path)
-
-
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    path = _path(spark, folder)
-    _files(spark, path).delete(path, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -80,17 +52,5 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/kinweave-{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage there."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
