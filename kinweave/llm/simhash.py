@@ -12,7 +12,7 @@ equal texts have equal fingerprints and one component; a null doc_id never is a
 rows without ids has a null id; texts of any length count whole; an empty table gives an empty result; other columns
 are ignored, and keep_one keeps them as they are.
 
-Scale: a fingerprint is shuffled once for each choice of parts: 5 times up to 2**27 fingerprints, 15 times up to 2**35
+Scale: a fingerprint is shuffled once for each choice of parts: 5 times up to 2**26 fingerprints, 15 times up to 2**34
 and 35 times up to 2**41. Subtries beyond 2 * BLOCK fingerprints are dealt in chunks, so no task needs more than two
 chunks in memory; keys with more than SPLIT rows are dealt over several tasks in joins.
 """

@@ -54,3 +54,55 @@ def test_edited_license_texts(spark):
 
 def test_runs_are_few():
     assert licenses.RUNS < 400 and all(re.fullmatch(r"[a-z0-9 ]+", " ".join(w)) for w, _, _ in licenses.TEMPLATES)
+
+
+def slow_spans(text):
+    """Diagonal voting again: every run of every template at every word, by comparing words."""
+    words = licenses.words_of(text or "")
+    out = []
+    for template, label, k in licenses.TEMPLATES:
+        votes = {}
+        for at in range(len(template) - k + 1):
+            for i in range(len(words) - k + 1):
+                if words[i : i + k] == template[at : at + k]:
+                    votes.setdefault(i - at, set()).add(at)
+        groups = []
+        for d in sorted(votes):
+            if groups and k == licenses.LONG_RUN and d - groups[-1][-1] <= licenses.GAP:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            met = set().union(*(votes[d] for d in g))
+            share = len(met) / (len(template) - k + 1)
+            if share >= (licenses.COVER if k == licenses.LONG_RUN else 1):
+                out.append((label, min(d + min(votes[d]) for d in g), max(d + max(votes[d]) for d in g) + k - 1, round(share, 9)))
+    return sorted(out)
+
+
+def test_all_spans_by_plain_voting(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(80):
+        words = []
+        for _ in range(r.randint(0, 3)):
+            own = licenses.words_of(r.choice(licenses.TEXTS)[0])
+            for _ in range(r.randint(0, 6)):
+                at = r.randrange(len(own))
+                own[at : at + 1] = r.choice(([], ["qqq"], [own[at], "zzz"]))
+            words += own[r.randint(0, 8) :] + r.choices("one two all rights reserved cc by".split(), k=r.randint(0, 9))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame([*rows, (900, None), (901, "İ K\u212a ALL RIGHTS RESERVED")], "doc_id long, text string")
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    some = 0
+    for x in licenses.scan(docs).collect():
+        want = slow_spans(texts[x["doc_id"]])
+        assert sorted((s["label"], s["first_word"], s["last_word"], round(s["share"], 9)) for s in x["spans"]) == want
+        some += any(label not in ("cc-by", "gpl", "reserved") for label, *_ in want)
+    assert some > 30
+
+
+def test_only_ascii_is_lowered(spark):
+    """The Kelvin sign isn't a k."""
+    (words,) = [x["n_words"] for x in licenses.scan(spark.createDataFrame([(1, "\u212aEY KEY")], "doc_id long, text string")).collect()]
+    assert words == 2 and licenses.words_of("\u212aEY KEY") == ["\u212aey", "key"]

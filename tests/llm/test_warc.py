@@ -82,3 +82,27 @@ def test_damage_is_found():
     assert warc.parse(good)["payload"] == b"payload"
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"payload", b"payloaf"))
+
+
+def test_ids_over_the_whole_range_and_heavy_cells(spark, monkeypatch):
+    """Ids from the least to the largest long; a cell with most rows is cut into ranges, or by a hash where its ids are uneven."""
+    monkeypatch.setattr(warc, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(warc, "CELLS", 4)
+    rows = [(-(2**63), "a", "first"), (2**63 - 1, "b", "last"), (0, "c", BIG)] + [(i, f"u{i}", f"{i} " * 200) for i in range(150)]
+    assert got(warc.round_trip(frame(spark, rows))) == expect(rows)
+    even = [(i, f"u{i}", f"{i:04d} " * 200) for i in range(400)]
+    folder = new_folder(spark, "test")
+    manifest = warc.write(frame(spark, even), folder)
+    assert manifest.count() > 8
+    path = folder.removeprefix("file://")
+    ids = []
+    for name in sorted(x for x in os.listdir(path) if x.startswith("part-")):
+        with open(os.path.join(path, name), "rb") as f:
+            ids.append([warc.parse(m)["page_id"] for m in warc.members(f.read())])
+    assert [i for part in ids for i in part] == list(range(400))
+
+
+def test_hadoop_names_of_one_store():
+    import re
+
+    assert re.sub(r"^s3[an]://", "s3://", "s3a://b/x") == "s3://b/x" and warc.store("file:///tmp/x")[1] == "/tmp/x"
