@@ -17,17 +17,27 @@ def _files(spark: SparkSession, path):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of the file system that it is on."""
+    path = _path(spark, folder)
+    full = _files(spark, path).makeQualified(path).toString().rstrip("/")
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, with its scheme; a folder of our own where none is named, which only a local session may have."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="kinweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = _path(spark, base)
-    full = _files(spark, path).makeQualified(path).toString().rstrip("/")
-    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="kinweave-")
+        base = _own[app]
+    return qualified(spark, base)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -28,14 +28,14 @@ def test_query_against_sql(spark, db, name):
     columns = sorted(df.columns)
     found = db.execute(catalog.SQL[name])
     names = [c[0] for c in found.description]
-    assert sorted(names) == columns
+    assert sorted(names) == columns and columns
     want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_queries_without_sql_are_few():
+    """Each of these is tested in test_models.py, by plain code or by recall."""
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"block_dense_compressed", "block_dense_ivf", "block_phonetic", "features_all", "metaphone_codes", "model_scores", "normalised_records"}
 
 
 def test_entry(spark):

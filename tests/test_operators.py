@@ -292,11 +292,114 @@ def test_streaming_top_k(spark, tmp_path):
     q.processAllAvailable()
     last = q.lastProgress["batchId"]
     q.stop()
-    versions = [int(p.name.split("=")[1]) for p in (tmp_path / "state").iterdir()]
+    versions = [int(p.name.split("=")[1]) for p in (tmp_path / "state" / "manifest").iterdir()]
     got = sorted((r["ref_id"], r["cand_id"], r["score"]) for r in state.current(max(versions)).collect())
     assert got == sorted((r["ref_id"], r["cand_id"], r["score"]) for r in merge(None, whole, 2).collect()) and last >= 0
 
 
+def test_streaming_rewrites_what_a_batch_touches(spark, tmp_path):
+    """Only the parts of a batch's references are written, a repeated batch changes nothing, and old versions go."""
+    state = TopK(spark, str(tmp_path), 2, parts=8)
+    batches = [[(f"r{i}", f"c{n}", float((i * 7 + n) % 5)) for i in range(n, 40, n + 1)] for n in range(5)]
+    schema = "ref_id string, cand_id string, score double"
+    for n, rows in enumerate(batches):
+        state.add(df(spark, rows, schema), n)
+    one = [("r1", "z", 9.0)]
+    state.add(df(spark, one, schema), 5)
+    assert len(list((tmp_path / "rows" / "version=5").glob("part=*"))) == 1
+    state.add(df(spark, one, schema), 5)
+    state.add(df(spark, [], schema), 6)
+    want = merge(None, df(spark, sum(batches, []) + one, schema), 2)
+    pick = lambda x: sorted((r["ref_id"], r["cand_id"], r["score"], r["rank"]) for r in x.collect())
+    assert pick(state.current(6)) == pick(want)
+    assert sorted(p.name for p in (tmp_path / "manifest").iterdir()) == ["version=5", "version=6"]
+    kept = {(p.parent.name, p.name) for p in (tmp_path / "rows").glob("version=*/part=*")}
+    assert len(kept) <= 8 + 1
+
+
+def test_small_bucket_beside_a_large_one(spark):
+    """The pool's size is a bucket's own: in the small one a term of a single candidate counts, in the large one it doesn't."""
+    rows = lambda b, n: [(f"{b}{i}", b, i, "", "", "", f"only{i} shared") for i in range(n)]
+    pool = df(spark, rows("small", 20) + rows("large", 120), REC).withColumn("terms", F.split("text", " "))
+    ask = df(spark, [("q1", "small", 0, "", "", "", "only3"), ("q2", "large", 0, "", "", "", "only3")], REC).withColumn("terms", F.split("text", " "))
+    found = {(r["ref_id"], r["cand_id"]) for r in blocking.sparse_channel(ask, pool, small_pool=50).collect()}
+    assert found == {("q1", "small3")}
+    assert blocking.sparse_channel(ask, pool).count() == 0
+
+
+def test_exact_channel_against_plain_code(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"c{i}", r.choice(["a", "b", "c"]), r.choice(["", "1", "2"]), r.choice(["", "7", "8"])) for i in range(120)]
+    asked = [(f"q{i}", r.choice(["a", "b", "", "z"]), r.choice(["", "1", "3"]), r.choice(["", "7"])) for i in range(40)]
+    got = {}
+    for x in blocking.exact_channel(rec(spark, asked), rec(spark, rows), k=5, cap=4).collect():
+        got.setdefault(x["ref_id"], []).append((x["rank"], x["cand_id"], x["score"]))
+    for q, name, postal, house in asked:
+        tiers = [(3, postal, 2), (2, house, 3), (1, "", None)]
+        want = []
+        for score, part, at in tiers:
+            if name and (part or at is None):
+                met = [c for c in rows if c[1] == name and (at is None or c[at] == part)][:4]
+                if met:
+                    want = [(n + 1, c[0], float(score)) for n, c in enumerate(met)]
+                    break
+        assert sorted(got.get(q, [])) == want
+
+
+def test_split_at_any_share(spark):
+    rows = refs_of(spark, *map(str, range(501)))
+    key = pairs.hashed(F.col("ref_id"))
+    order = [r["ref_id"] for r in rows.orderBy(key, "ref_id").collect()]
+    for share in (0.0, 0.2, 0.5, 1.0):
+        got = {r["ref_id"] for r in pairs.split(rows, share).where("split = 'val'").collect()}
+        assert got == set(order[: int(501 * share)])
+    tied = pairs.split(rows, 0.1, F.lit(5).cast("long"))
+    assert sorted(r["ref_id"] for r in tied.where("split = 'val'").collect()) == sorted(map(str, range(501)))[:50]
+    assert pairs.split(rows.limit(0)).count() == 0
+
+
+def test_signals_that_drifted(spark):
+    found = df(spark, [("1", "x"), ("2", "y")], PAIR)
+    signals = df(spark, [("1", "x", 0.5), ("2", "y", 0.7), ("3", "z", 0.1)], PAIR + ", s double")
+    assert sorted(r["s"] for r in pairs.attach_signals(found, signals, ["s"]).collect()) == [0.5, 0.7]
+    with pytest.raises(ValueError, match="lack pairs"):
+        pairs.attach_signals(found, signals.where("ref_id != '2'"), ["s"])
+    with pytest.raises(ValueError, match="twice"):
+        pairs.attach_signals(found, signals.unionByName(signals), ["s"])
+
+
+def test_artifacts(spark, tmp_path):
+    table = refs_of(spark, *map(str, range(10)))
+    table.write.parquet(str(tmp_path / "us"))
+    table.limit(3).write.parquet(str(tmp_path / "india"))
+    places = {b: str(tmp_path / b) for b in ("us", "india", "france", "peru")}
+    plan = {"us": 10, "india": 10, "france": 5, "peru": 0}
+    with pytest.raises(ValueError, match="india: truncated, 3 of 10.*france: missing"):
+        audit.check_artifacts(spark, places, plan)
+    sampled = audit.planned_counts(table.withColumn("bucket", F.lit("us")), {"max_refs": 3, "per_bucket": {"us": 3, "india": 3}})
+    assert sampled == {"us": 3, "india": 3} and audit.planned_counts(table.withColumn("bucket", F.lit("us")), {"per_bucket": {"us": 3}}) == {"us": 10}
+    found = audit.check_artifacts(spark, places, plan | sampled, allow_missing=True)
+    assert {b: x["state"] for b, x in found.items()} == {"us": "present", "india": "present", "france": "missing", "peru": "out of scope"}
+
+
+def test_open_set_choice(spark):
+    grid = df(spark, [("us", 0.0, 0.0, 0.5), ("us", 0.1, 0.5, 0.6), ("us", 0.2, 0.5, 0.6), ("india", 0.0, 0.0, 0.9), ("india", 0.1, 0.5, 0.8)], "held string, boost double, veto double, macro_f05 double")
+    best = decision.choose_open_set(grid)
+    assert (best["us"]["boost"], best["us"]["improvement"]) == (0.1, 0.0) and best["india"]["boost"] == 0.0 and math.isclose(best["india"]["improvement"], 0.1)
+
+
+def test_choice_of_calibration(spark):
+    assert models.choose_calibration({"none": (0.05, 0.8), "global": (0.02, 0.8), "per_bucket": (0.01, 0.7)}) == "global"
+    assert models.choose_calibration({"none": (0.01, 0.8), "global": (0.008, 0.9)}) == "none"
+    rows = df(spark, [("a",)] * 20 + [("b",)] * 19, "bucket string")
+    assert models.calibration_sizes(rows) == ["a"]
+    points = [(0.1, 0.0), (0.3, 0.2), (0.3, 0.4), (0.6, 0.8)]
+    x = df(spark, [(v / 50,) for v in range(51)], "p double").select(models.apply_knots(F.col("p"), points).alias("a"), models.apply_knots_joined(F.col("p"), points).alias("b"))
+    assert all(abs(r["a"] - r["b"]) < 1e-12 for r in x.collect())
+
+
 def test_tuning_of_fusion(spark):
     refs = df(spark, [("1", "us"), ("2", "fr")], "ref_id string, bucket string")
     lists = df(spark, [("1", "A", "x", 1), ("1", "C", "a", 1), ("1", "C", "x", 30), ("1", "A", "a", 2), ("2", "A", "q", 1)], LIST)

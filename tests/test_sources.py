@@ -70,6 +70,53 @@ def test_bucket_scan(spark, tmp_path):
     assert "country_norm" in got._jdf.queryExecution().toString().split("PushedFilters")[1][:200]
 
 
+def test_first_rows_ids_and_heads(spark, tmp_path):
+    """Of a repeated id the first row of the first file stays, however the files are split."""
+    rows = [(f"S1-{i}", "us", f"first{i}") for i in range(50)]
+    spark.createDataFrame(rows, "entity_id string, country_norm string, name string").coalesce(1).write.parquet(str(tmp_path / "t/part=0"))
+    spark.createDataFrame([(i, c, "later") for i, c, _ in rows[::2]] + [("S1-7", "us", "latest")], "entity_id string, country_norm string, name string").coalesce(1).write.parquet(str(tmp_path / "t/part=1"))
+    got = {r["entity_id"]: r["name"] for r in records.scan_bucket(spark, str(tmp_path / "t"), "us", ["entity_id", "name"]).collect()}
+    assert got == {i: n for i, _, n in rows}
+    ids = spark.createDataFrame([("S1-3",), ("S1-11",), ("S1-2",), ("S9-1",)], "entity_id string")
+    assert [r["entity_id"] for r in records.scan_bucket(spark, str(tmp_path / "t"), "us", ["entity_id"], ids, 2).collect()] == ["S1-11", "S1-2"]
+    assert records.count_rows(spark, str(tmp_path / "t")) == 76
+
+
+def test_tables_are_stored_once_for_each_state(spark, tmp_path):
+    from kinweave.sources.folders import stored
+
+    built = []
+    source = str(tmp_path / "in")
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    spark.range(3).write.parquet(source)
+    assert stored(spark, "x", [source], build).count() == 3 and stored(spark, "x", [source], build).count() == 3 and len(built) == 1
+    spark.range(5).write.mode("append").parquet(source)
+    assert stored(spark, "x", [source], build).count() == 8 and len(built) == 2
+
+
+def test_shared_folders_keep_their_scheme(spark):
+    from kinweave.sources import folders
+
+    assert folders.qualified(spark, "/tmp/kinweave-test") == "file:///tmp/kinweave-test"  # of the default file system
+    assert folders.qualified(spark, "file:///tmp/kinweave-test/") == "file:///tmp/kinweave-test"
+
+
+def test_a_folder_of_our_own_is_for_local_sessions_alone(monkeypatch, spark):
+    from types import SimpleNamespace
+
+    from kinweave.sources import folders
+
+    monkeypatch.setattr(folders, "qualified", lambda _, folder: folder)
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a", getConf=lambda: {}))
+    assert folders.shared_folder(session("local[2]")) == folders.shared_folder(session("local[2]")) != ""
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        folders.shared_folder(session("spark://host:7077"))
+
+
 def test_link_end_to_end(spark):
     raw = []
     names = ["Acme", "Globex", "Initech", "Umbrella", "Stark", "Wayne", "Wonka", "Hooli", "Vandelay", "Cyberdyne"]
