@@ -231,17 +231,17 @@ FEATURES = {
     "struct_name_script_latin_xor": _flag("(a.script_type = 'latin') <> (b.script_type = 'latin')"),
     "struct_addr_digit_count_ratio": _share("len(a.addr_digits)", "len(b.addr_digits)"),
 }
-WIDE_SQL = with_(V.REC.replace("array_to_string(toks[1:4], ' ') AS name_core", "array_to_string(list_transform(toks[1:4], lambda t: strip_accents(t)[1:24]), ' ') AS name_core"), V.WORD, WIDE, WIDE_IDF, WIDE_PAIRS, f"sw AS (SELECT *, {_sorted('list_filter(string_split(name_core, chr(32)), lambda t: t <> chr(32)[2:])')} AS s FROM wide)")
+WIDE_SQL = with_(V.REC.replace("array_to_string(toks[1:4], ' ') AS name_core", "array_to_string(list_transform(toks[1:4], lambda t: replace(strip_accents(t), 'ß', 'ss')[1:24]), ' ') AS name_core"), V.WORD, WIDE, WIDE_IDF, WIDE_PAIRS, f"sw AS (SELECT *, {_sorted('list_filter(string_split(name_core, chr(32)), lambda t: t <> chr(32)[2:])')} AS s FROM wide)")
 
 
 def _wide(spark, d):
-    """Records with fields that differ by turns, so that no feature is constant; names without accents and in ASCII length."""
+    """Records with fields that differ by turns, so that no feature is constant; names without accents, since an SQL function counts bytes."""
     from kinweave.functions import arrow
 
     n = F.col("doc_id")
     by = lambda m, *xs: F.element_at(F.array(*xs), F.least(F.pmod(n, F.lit(m)), F.lit(len(xs) - 1)).cast("int") + 1)
     lit = F.lit
-    short = F.array_join(F.transform(F.split(arrow.without_accents(F.array_join(F.slice("toks", 1, 4), " ")), " "), lambda t: F.substring(t, 1, 24)), " ")
+    short = F.array_join(F.transform(F.split(F.replace(arrow.without_accents(F.array_join(F.slice("toks", 1, 4), " ")), F.lit("ß"), F.lit("ss")), " "), lambda t: F.substring(t, 1, 24)), " ")
     rec = V.records(spark, d).withColumn("name_core", short)
     own = text.tokens(F.col("name_core"))
     none = F.array().cast("array<string>")
@@ -267,11 +267,11 @@ def _wide_features(spark, d):
     return features.features(signals.join(truth, ["ref_id", "cand_id"], "left"), full)
 
 
-@query(WIDE_SQL + "SELECT ref_id, cand_id, " + ", ".join(f"round(({x})::DOUBLE, 4) AS {n}" for n, x in FEATURES.items()) + " FROM wp JOIN (SELECT *, s AS sa FROM sw) a ON a.entity_id = ref_id JOIN (SELECT *, s AS sb FROM sw) b ON b.entity_id = cand_id")
+@query(WIDE_SQL + "SELECT ref_id, cand_id, " + ", ".join(f"floor(({x})::FLOAT::DOUBLE * 10000 + 0.5::DOUBLE) / 10000 AS {n}" for n, x in FEATURES.items()) + " FROM wp JOIN (SELECT *, s AS sa FROM sw) a ON a.entity_id = ref_id JOIN (SELECT *, s AS sb FROM sw) b ON b.entity_id = cand_id")
 def features_wide(spark, d):
     """42 of the 45 features on records where none is constant; the other three compare windows or sets of words."""
     f = _wide_features(spark, d)
-    return f.select("ref_id", "cand_id", *[F.round(F.col(n).cast("double"), 4).alias(n) for n in FEATURES])
+    return f.select("ref_id", "cand_id", *[(F.floor(F.col(n).cast("double") * 10000 + 0.5) / 10000).alias(n) for n in FEATURES])
 
 
 RATES = {"name_token_jaccard": 0.5, "addr_token_jaccard": 0.8, "ret_exact_key_hit": 1.0}

@@ -24,7 +24,7 @@ def token_similarity(pairs: DataFrame, rec: DataFrame) -> DataFrame:
     """(ref_id, cand_id, prob): Jaccard similarity of the records' tokens, to six places, in place of a trained model."""
     own = rec.select("entity_id", "toks")
     rows = pairs.join(own.select(F.col("entity_id").alias("ref_id"), F.col("toks").alias("ta")), "ref_id").join(own.select(F.col("entity_id").alias("cand_id"), F.col("toks").alias("tb")), "cand_id")
-    return rows.select("ref_id", "cand_id", F.round(text.jaccard(F.col("ta"), F.col("tb")), 6).alias("prob"))
+    return rows.select("ref_id", "cand_id", (F.floor(text.jaccard(F.col("ta"), F.col("tb")) * 1e6 + 0.5) / 1e6).alias("prob"))
 
 
 def _documents(sf_dir: str) -> list[str]:

@@ -93,7 +93,7 @@ exact_met AS (SELECT r.entity_id AS ref_id, c.entity_id AS cand_id, c.seq, r.tie
 exact AS (SELECT ref_id, cand_id, tier::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY seq) AS rank FROM exact_met WHERE tier = best) WHERE rank <= 50)"""
 LISTS = "lists AS (SELECT ref_id, 'exact' AS channel, cand_id, score, rank FROM exact UNION ALL SELECT ref_id, 'word', cand_id, score, rank FROM word UNION ALL SELECT ref_id, 'char', cand_id, score, rank FROM chars)"
 PROBS = """probs AS (
-  SELECT ref_id, cand_id, round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) AS prob
+  SELECT ref_id, cand_id, floor(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS prob
   FROM (SELECT DISTINCT ref_id, cand_id FROM lists) p JOIN rec a ON a.entity_id = p.ref_id JOIN rec b ON b.entity_id = p.cand_id
 )"""
 CHANNELS = ",\n".join((REC, EXACT, WORD, CHAR, LISTS))
