@@ -5,9 +5,9 @@ BLOCK. A tile is one block beside PART shards: for each shard a matrix product i
 k best of each query, and a merge with the tile's best so far. The lists of a query from its tiles are merged FAN at a
 time until one is left, so no task gathers all lists of a query.
 
-Scale: a vector is shuffled once for each block of queries and a query once for each tile of its block, so of n vectors
-and m queries 2 * n * m / 262,144 packed vectors travel when a tile has 262,144 of each; that product is the work of an
-exact search too.
+Scale: a tile holds a block and one shard unpacked, and k results for each of its queries. A vector is shuffled once for
+each block, a query and its k results once for each tile of its block: of n vectors and m queries n * m / 131,072 packed
+vectors travel, and n * m / 1,048,576 lists. That product is the work of an exact search too.
 
 Defined cases: components are floor(scale * x); vectors that are null or hold null or non-finite components take no
 part, nor do rows without an id; vectors of unequal lengths have no score; a query's own id is no candidate; a repeated
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.common import prepare
 
-SHARD, PART, BLOCK, FAN, STRIP = 8192, 32, 262_144, 16, 256
+SHARD, PART, BLOCK, FAN, STRIP = 8192, 128, 131_072, 16, 256
+#: Tiles beside a block where there are shards enough, so that small tables keep several tasks busy.
+TILES = 8
 MOST = 2**63 - 1
 PACKED = "dim int, kind string, ids binary, rows binary"
 
@@ -111,34 +113,37 @@ def tile(asks: pd.DataFrame, shards: pd.DataFrame, k: int) -> pd.DataFrame:
 
     After a strip's first shard only scores that reach the query's k-th best so far are looked at.
     """
-    out = []
-    cands: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}  # by block and strip: row, id and score of the best so far, and each query's floor
+    blocks = [(dim, *unpack(dim, *packed)) for dim, *packed in zip(asks["dim"], asks["kind"], asks["ids"], asks["rows"], strict=True)]
     for dim, *packed in zip(shards["dim"], shards["kind"], shards["ids"], shards["rows"], strict=True):
-        ids, c = unpack(dim, *packed)
-        order = np.argsort(ids, kind="stable")
-        cands.setdefault(dim, []).append((ids[order], c[order]))
-    for dim, *packed in zip(asks["dim"], asks["kind"], asks["ids"], asks["rows"], strict=True):
-        q_ids, q = unpack(dim, *packed)
-        for at in range(0, len(q), STRIP) if dim in cands else ():
-            ids, part = q_ids[at : at + STRIP], q[at : at + STRIP]
-            row = vec = score = floor = None
-            for c_ids, c in cands[dim]:
-                s = scores(part, c)
-                if row is None:
+        if all(d != dim for d, _, _ in blocks):
+            continue
+        c_ids, c = unpack(dim, *packed)
+        order = np.argsort(c_ids, kind="stable")
+        c_ids, c = c_ids[order], c[order]
+        for b, (d, q_ids, q) in enumerate(blocks):
+            for at in range(0, len(q), STRIP) if d == dim else ():
+                ids = q_ids[at : at + STRIP]
+                s = scores(q[at : at + STRIP], c)
+                if (b, at) not in held:
                     row, vec, score = best_of(ids, c_ids, s, k)
                 else:
+                    row, vec, score, floor = held[b, at]
                     r, j = np.nonzero(s >= floor[:, None])
                     other = c_ids[j] != ids[r]
                     r, j = r[other], j[other]
+                    if not len(r):
+                        continue
                     row, vec, score = np.append(row, r), np.append(vec, c_ids[j]), np.append(score, s[r, j])
                     order = np.lexsort((vec, -score, row))
                     row, vec, score = row[order], vec[order], score[order]
                     keep = np.arange(len(row)) - np.searchsorted(row, row) < k
                     row, vec, score = row[keep], vec[keep], score[keep]
-                held = np.bincount(row, minlength=len(ids))
+                n = np.bincount(row, minlength=len(ids))
                 floor = np.full(len(ids), -MOST)
-                floor[held == k] = score[np.cumsum(held)[held == k] - 1]
-            out.append(pd.DataFrame({"query_id": ids[row], "vec_id": vec, "score": score}))
+                floor[n == k] = score[np.cumsum(n)[n == k] - 1]
+                held[b, at] = row, vec, score, floor
+    out = [pd.DataFrame({"query_id": blocks[b][1][at : at + STRIP][row], "vec_id": vec, "score": score}) for (b, at), (row, vec, score, _) in held.items()]
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
 
@@ -148,7 +153,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     cands = integer_vectors(vectors, scale, vector_id, vector)
     asked = integer_vectors(queries, scale, vector_id, vector).groupBy("vec_id").agg(F.max("v").alias("v"))
     n, m = cands.count(), asked.count()
-    blocks, parts = max(1, math.ceil(m / BLOCK)), max(math.ceil(n / (SHARD * PART)), min(PART, math.ceil(n / SHARD)), 1)
+    blocks, parts = max(1, math.ceil(m / BLOCK)), max(math.ceil(n / (SHARD * PART)), min(TILES, math.ceil(n / SHARD)), 1)
 
     def dealt(rows: DataFrame, name: str, into: int, each: str, of: int) -> DataFrame:
         """Packed rows, each dealt to one of `into` and beside every one of `of`."""

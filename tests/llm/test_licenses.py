@@ -87,7 +87,7 @@ def test_all_spans_by_plain_voting(spark):
         words = []
         for _ in range(r.randint(0, 3)):
             own = licenses.words_of(r.choice(licenses.TEXTS)[0])
-            for _ in range(r.randint(0, 6)):
+            for _ in range(r.randint(0, 2)):
                 at = r.randrange(len(own))
                 own[at : at + 1] = r.choice(([], ["qqq"], [own[at], "zzz"]))
             words += own[r.randint(0, 8) :] + r.choices("one two all rights reserved cc by".split(), k=r.randint(0, 9))

@@ -31,7 +31,7 @@ def test_against_brute_force(spark, monkeypatch):
     rows = [(i, [r.choice([-1.5, 0.0, 0.25, 0.51, -0.01]) for _ in range(6)]) for i in range(400)]
     rows += [(None, [1.0] * 6), (900, None), (920, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (940, [NAN] * 6), (960, [INF] * 6), (980, [1.0, 2.0]), (981, [3.0, 4.0]), (1000, []), (1001, [])]
     rows += [(20, [0.5] * 6), (21, [0.25] * 6), (21, [0.25] * 6)]
-    for shard, part, block, fan, strip in ((8192, 32, 1024, 16, 256), (50, 1, 5, 2, 3), (20, 4, 7, 2, 256)):
+    for shard, part, block, fan, strip in ((8192, 128, 1024, 16, 256), (50, 1, 5, 2, 3), (20, 4, 7, 2, 256)):
         monkeypatch.setattr(topk_search, "SHARD", shard)
         monkeypatch.setattr(topk_search, "PART", part)
         monkeypatch.setattr(topk_search, "STRIP", strip)
