@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinweave.config import DEFAULTS, Settings
 from kinweave.functions import text
 from kinweave.operators import blocking, decision, features, fusion
+from kinweave.operators.common import ratio
 from kinweave.plans import views
 from kinweave.sources import records
 from kinweave.sources.folders import checkpoint, stored
@@ -22,9 +23,11 @@ def channels(refs: DataFrame, cands: DataFrame, s: Settings = DEFAULTS) -> DataF
 
 def token_similarity(pairs: DataFrame, rec: DataFrame) -> DataFrame:
     """(ref_id, cand_id, prob): Jaccard similarity of the records' tokens, to six places, in place of a trained model."""
-    own = rec.select("entity_id", "toks")
-    rows = pairs.join(own.select(F.col("entity_id").alias("ref_id"), F.col("toks").alias("ta")), "ref_id").join(own.select(F.col("entity_id").alias("cand_id"), F.col("toks").alias("tb")), "cand_id")
-    return rows.select("ref_id", "cand_id", (F.floor(text.jaccard(F.col("ta"), F.col("tb")) * 1e6 + 0.5) / 1e6).alias("prob"))
+    own = checkpoint(rec.select("entity_id", F.array_distinct("toks").alias("t")))
+    rows = pairs.join(own.select(F.col("entity_id").alias("ref_id"), F.col("t").alias("ta")), "ref_id").join(own.select(F.col("entity_id").alias("cand_id"), F.col("t").alias("tb")), "cand_id")
+    both = F.size(F.array_intersect("ta", "tb"))
+    similar = text.let(both, lambda n: ratio(n, F.size("ta") + F.size("tb") - n))
+    return rows.select("ref_id", "cand_id", (F.floor(similar * 1e6 + 0.5) / 1e6).alias("prob"))
 
 
 def _documents(sf_dir: str) -> list[str]:
