@@ -1,9 +1,17 @@
 """What larger tables showed: queries against their SQL on small tables made for one case each."""
 
+import re
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+
+from kinweave.operators import blocking, fusion, packed
+from kinweave.plans import catalog, linkage, views
 
-from kinweave.plans import catalog
+SF = "/root/testdata/sf0.001"
 
 
 def plain(v):
@@ -29,3 +37,61 @@ def test_accents_of_addresses_below_names_without_letters(spark, tmp_path, name)
     rows = [(0, "1 389 555 5010 les éèpaeux arrró", "fr"), (6, "Réseau Hôtel Naïve un deux éèpaeux", "fr"), (1, "12 34 56 78 cioñ", "es"), (12, "1 2 3 4 99", "de")]
     got = same_as_sql(spark, tmp_path, rows, name)
     assert "les eepaeux arrro" in [r["addr_norm"] for r in got]
+
+
+def exchanges(df):
+    return re.findall(r"Exchange hashpartitioning\(([^\n]*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_row_travels_for_each_pair_that_shares_a_term(spark):
+    dealt = exchanges(blocking.word_channel(*views.sides(spark, SF)))
+    assert dealt and not [x for x in dealt if "cand_id" in x]
+
+
+def test_a_channel_list_is_dealt_once_for_fusion(spark):
+    assert len(exchanges(fusion.rrf(linkage.stored_lists(spark, SF), 10, top_n=5))) <= 1
+
+
+def test_texts_do_not_travel_for_the_truth(spark):
+    plan = views.truth(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in exchanges(views.truth(spark, SF)) if "text" in x] and "digest" in plan
+
+
+def test_search_over_many_parts(spark, monkeypatch):
+    refs, cands = views.sides(spark, SF)
+    want = sorted(map(tuple, blocking.word_channel(refs, cands).collect()))
+    monkeypatch.setattr(packed, "PART", 1)
+    assert want and sorted(map(tuple, blocking.word_channel(refs, cands).collect())) == want
+
+
+def test_similarity_of_packed_pairs(spark, monkeypatch):
+    monkeypatch.setattr(packed, "SCORED_PART", 1)
+    rows = lambda x: spark.createDataFrame([(i, "b", n, t) for n, (i, t) in enumerate(x)], "id string, bucket string, seq long, toks array<string>")
+    refs, cands = rows([("r1", ["a", "b", "b"]), ("r2", [])]), rows([("c1", ["b", "c"]), ("c2", []), ("c3", ["a", "b"]), ("c4", ["z"])])
+    pairs = spark.createDataFrame([("r1", "c1"), ("r1", "c1"), ("r1", "c3"), ("r1", "c4"), ("r2", "c2"), ("r2", "c1"), ("r1", "c2")], "ref_id string, cand_id string")
+    got = sorted(map(tuple, linkage.token_similarity(pairs, refs, cands).collect()))
+    assert got == [("r1", "c1", 0.333333), ("r1", "c2", 0.0), ("r1", "c3", 1.0), ("r1", "c4", 0.0), ("r2", "c1", 0.0), ("r2", "c2", 0.0)]
+
+
+def test_a_struct_as_seq_breaks_ties_as_a_number_does(spark):
+    rows = spark.createDataFrame([(f"c{n:02}", "b", n, ["x"]) for n in range(30)], "id string, bucket string, seq long, terms array<string>")
+    asked = spark.createDataFrame([("r", "b", 0, ["x"])], "id string, bucket string, seq long, terms array<string>")
+    for cands in (rows, rows.withColumn("seq", F.struct(F.lit("S2").alias("source"), "id"))):
+        found = blocking.sparse_channel(asked, cands, 7, min_df=1, max_df=1.0, scan=5)
+        assert [r["cand_id"] for r in found.orderBy("rank").collect()] == [f"c{n:02}" for n in range(5)]
+
+
+def test_blocks_hold_every_record_and_term(monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK", 4)
+    monkeypatch.setattr(packed, "TERMS", 9)
+    terms = [[f"t{(i * j) % 11}" for j in range(i % 7)] for i in range(60)] + [["t1"] * 40]
+    batch = pa.record_batch({"ids": [str(i) for i in range(61)], "seqs": list(range(61)), "bucket": ["ab"[i % 2] for i in range(61)], "terms": pa.array(terms, pa.list_(pa.string()))})
+    got = {}
+    for out in packed._blocks(iter([batch.slice(0, 33), batch.slice(33)]), pa.int64(), False):
+        (row,) = out.to_pylist()
+        n, codes, tf = (packed._unzip(row[c], np.int32) for c in ("n", "codes", "tf"))
+        assert len(n) <= 4
+        starts = packed._starts(n)
+        for i, (a, b) in zip(row["ids"], zip(starts, starts[1:], strict=False), strict=True):
+            got[int(i)] = sorted(row["terms"][c] for c, m in zip(codes[a:b], tf[a:b], strict=True) for _ in range(m))
+    assert got == {i: sorted(t) for i, t in enumerate(terms)}
