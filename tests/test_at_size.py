@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import blocking, fusion, packed
 from kinweave.plans import catalog, linkage, views
+from kinweave.sources import folders
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +96,51 @@ def test_blocks_hold_every_record_and_term(monkeypatch):
         for i, (a, b) in zip(row["ids"], zip(starts, starts[1:], strict=False), strict=True):
             got[int(i)] = sorted(row["terms"][c] for c, m in zip(codes[a:b], tf[a:b], strict=True) for _ in range(m))
     assert got == {i: sorted(t) for i, t in enumerate(terms)}
+
+
+def test_candidates_and_partial_lists_do_not_travel(spark):
+    dealt = exchanges(blocking.word_channel(*views.sides(spark, SF)))
+    assert not [x for x in dealt if "ref_id" in x or "part" in x]
+
+
+def test_pairs_to_be_scored_are_dealt_once(spark):
+    pairs = linkage.stored_lists(spark, SF).select("ref_id", "cand_id")
+    assert len(exchanges(linkage.token_similarity(pairs, *views.sides(spark, SF)).select("prob"))) <= 2
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD": 1, "GATHERED": 5}, {"HELD": 20, "GATHERED": 40, "CELLS": 64}])
+def test_search_that_gathers_and_holds_little(spark, monkeypatch, limits):
+    held = {n: [f"t{t}" for t in range(12) if (n * 7 + t * t) % 5 < 2] for n in range(90)}
+    rows = spark.createDataFrame([(f"c{n}", "b", n, t) for n, t in held.items()], "id string, bucket string, seq long, terms array<string>")
+    files = folders.files_by(folders.kept(packed.pack(rows.repartition(6), True), "some"), "bucket")
+    weights = {(r, t): (1 + (r * 3 + t) % 4) / 8 for r in range(20) for t in range(12) if (r + t) % 3 == 0}
+    n = np.bincount([r for r, _ in weights], minlength=20).astype(np.int32)
+    codes, w = np.array([t for _, t in weights], np.int32), np.array(list(weights.values()))
+    cut = pa.array([[{"at": 4, "seq": 50}]], pa.list_(pa.struct([("at", pa.int32()), ("seq", pa.int64())])))
+    asked = {"bucket": ["b"], "share": [0], "ids": [[f"r{r}" for r in range(20)]], "terms": [[f"t{t}" for t in range(12)]], "cut": cut, "n": [packed._zip(n)], "codes": [packed._zip(codes)], "w": [packed._zip(w)]}
+    want = []
+    for r in range(20):
+        scores = [(-sum(x for (q, t), x in weights.items() if q == r and f"t{t}" in held[c] and (t != 4 or c <= 50)), c) for c in held]
+        want += [(f"r{r}", f"c{c}", -x, i + 1) for i, (x, c) in enumerate(sorted(p for p in scores if p[0] < 0)[:7])]
+    for name, value in limits.items():
+        monkeypatch.setattr(packed, name, value)
+    assert [tuple(x.values()) for b in packed._search(iter([pa.record_batch(asked)]), files, 7, pa.int64()) for x in b.to_pylist()] == want
+
+
+def test_what_a_stored_table_was_made_from_goes(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(folders.kept(spark.range(3), "some"))
+        return made[0].selectExpr("id + 1 AS id")
+
+    assert sorted(r["id"] for r in folders.stored(spark, "test-of-kept", [str(tmp_path)], build).collect()) == [1, 2, 3]
+    assert not folders.exists(spark, made[0].inputFiles()[0].rpartition("/")[0])
+
+
+def test_rows_of_kept_files_by_value(spark):
+    rows = [(i, "a b" if i % 2 else "ü") for i in range(9)]
+    df = folders.kept(spark.createDataFrame(rows, "id long, bucket string").repartition(2), "some")
+    files = folders.files_by(df, "bucket")
+    got = {b: sorted(r.column("id")[0].as_py() for r in folders.rows_of(files[b], ["id"], ("bucket", b))) for b in files}
+    assert got == {"a b": [1, 3, 5, 7], "ü": [0, 2, 4, 6, 8]}
