@@ -53,6 +53,12 @@ def test_a_channel_list_is_dealt_once_for_fusion(spark):
     assert len(exchanges(fusion.rrf(linkage.stored_lists(spark, SF), 10, top_n=5))) <= 1
 
 
+def test_a_grid_of_k_deals_no_row_for_each_k_and_candidate(spark):
+    lists, truth = linkage.stored_lists(spark, SF), views.truth(spark, SF)
+    dealt = exchanges(fusion.rrf_grid(lists, truth, 5))
+    assert dealt and not [x for x in dealt if re.search(r"\bk#", x) and "ref_id" in x]
+
+
 def test_texts_do_not_travel_for_the_truth(spark):
     plan = views.truth(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in exchanges(views.truth(spark, SF)) if "text" in x] and "digest" in plan
