@@ -23,6 +23,14 @@ def best_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("ref_id", "cand_id").agg(F.max("prob").alias("prob"))
 
 
+def best_labelled(scores: DataFrame, refs: DataFrame, truth: DataFrame) -> DataFrame:
+    """best_scores of the references, with hit 1 for true pairs, else null. True pairs are dealt by reference with the scores, so a grid's rows need no join with them."""
+    true = truth.select("ref_id", "cand_id", F.lit(None).alias("prob"), F.lit(1).alias("hit"))
+    rows = scores.select("ref_id", "cand_id", "prob", F.lit(None).alias("hit")).unionByName(true).repartition("ref_id")
+    best = rows.groupBy("ref_id", "cand_id").agg(F.max("prob").alias("prob"), F.max("hit").alias("hit")).where("prob is not null")
+    return best.join(refs.select("ref_id").distinct(), "ref_id")
+
+
 def with_open(refs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """refs (ref_id, bucket) with is_open: its bucket is listed as open, or isn't among those seen."""
     return refs.withColumn("is_open", F.col("bucket").isin(*s.open_set) | ~F.col("bucket").isin(*s.seen))
@@ -42,19 +50,25 @@ def decide(scores: DataFrame, refs: DataFrame, tau_match: float = DEFAULTS.tau_m
 
 
 def _macro_over(keys: list[str], params: DataFrame, refs: DataFrame, truth: DataFrame, kept: DataFrame) -> DataFrame:
-    """Mean F0.5 of each setting; params holds the settings, a handful of rows that may be broadcast."""
-    hits = kept.join(truth.distinct().withColumn("hit", F.lit(1)), ["ref_id", "cand_id"], "left").groupBy(*keys, "ref_id").agg(F.count("*").alias("p"), F.count("hit").alias("h"))
+    """Mean F0.5 of each setting over refs; params holds the settings, a handful of rows that may be broadcast.
+
+    kept is (keys, ref_id, hit), dealt by reference. A reference that keeps nothing scores 1 without true pairs, else 0, at
+    any setting; so only those that keep something are counted for each.
+    """
     true = truth.distinct().groupBy("ref_id").agg(F.count("*").alias("t"))
-    every = refs.select("ref_id").distinct().join(true, "ref_id", "left").join(F.broadcast(params)).join(hits, [*keys, "ref_id"], "left").fillna(0, ["t", "p", "h"])
+    every = refs.select("ref_id").distinct().join(true, "ref_id", "left").fillna(0, ["t"])
+    hits = kept.groupBy(*keys, "ref_id").agg(F.count("*").alias("p"), F.count("hit").alias("h")).join(every, "ref_id")
     t, p, h = F.col("t"), F.col("p"), F.col("h")
-    f = F.when((t == 0) & (p == 0), 1.0).when((t == 0) | (p == 0), 0.0).otherwise(5.0 * h / (t + 4.0 * p))
-    return every.groupBy(*keys).agg(F.avg(f).alias("macro_f05"))
+    more = hits.groupBy(*keys).agg(F.sum(F.when(t == 0, -1.0).otherwise(5.0 * h / (t + 4.0 * p))).alias("more"))
+    base = every.agg(F.count("*").alias("n"), F.count(F.when(t == 0, 1)).alias("empty"))
+    rows = params.join(F.broadcast(base)).join(more, keys, "left").where("n > 0")
+    return rows.select(*keys, ((F.col("empty") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("macro_f05"))
 
 
 def decide_grid(scores: DataFrame, refs: DataFrame, truth: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(tau_match, tau_s, macro_f05) over the grid, without open-set terms."""
     peak = F.max("prob").over(Window.partitionBy("ref_id"))
-    rows = best_scores(scores).join(refs.select("ref_id").distinct(), "ref_id").withColumn("peak", peak)
+    rows = best_labelled(scores, refs, truth).withColumn("peak", peak)
     spread = over_grid(over_grid(rows, "tau_match", s.tau_match_grid), "tau_s", s.tau_s_grid)
     no = F.lit(False)
     kept = spread.where(_kept(F.col("prob"), F.col("peak"), F.col("tau_match"), F.col("tau_s"), F.lit(s.margin), no, F.lit(0.0), F.lit(0.0)))
@@ -93,7 +107,7 @@ def decide_expected(scores: DataFrame, refs: DataFrame, recall_hat: float = 0.85
 
 def expected_grid(scores: DataFrame, refs: DataFrame, truth: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(recall_hat, tau_floor, macro_f05) over the grid."""
-    own = best_scores(scores).join(refs.select("ref_id").distinct(), "ref_id")
+    own = best_labelled(scores, refs, truth)
     w = Window.partitionBy("recall_hat", "ref_id")
     order = w.orderBy(F.desc("prob"), "cand_id")
     hat = F.greatest(F.lit(1e-3), F.least(F.lit(1.0), F.col("recall_hat")))
@@ -127,7 +141,7 @@ def veto_impact(tops: DataFrame, thresholds=(0.0, 0.3, 0.5, 0.7, 0.9, 0.95)) ->
 
 def open_set_grid(scores: DataFrame, refs: DataFrame, truth: DataFrame, boosts=(0.0, 0.1, 0.2), vetoes=(0.0, 0.3, 0.5, 0.6, 0.7), tau_match: float = DEFAULTS.tau_match, tau_s: float = DEFAULTS.tau_s, margin: float = DEFAULTS.margin) -> DataFrame:
     """(boost, veto, macro_f05) with all given references, of a labelled bucket that is held out, treated as open."""
-    rows = best_scores(scores).join(refs.select("ref_id").distinct(), "ref_id").withColumn("peak", F.max("prob").over(Window.partitionBy("ref_id")))
+    rows = best_labelled(scores, refs, truth).withColumn("peak", F.max("prob").over(Window.partitionBy("ref_id")))
     spread = over_grid(over_grid(rows, "boost", boosts), "veto", vetoes)
     kept = spread.where(_kept(F.col("prob"), F.col("peak"), F.lit(tau_match), F.lit(tau_s), F.lit(margin), F.lit(True), F.col("boost"), F.col("veto")))
     one = scores.sparkSession.range(1).drop("id")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import blocking, fusion, packed
+from kinweave.operators import blocking, decision, fusion, packed
 from kinweave.plans import catalog, linkage, views
 from kinweave.sources import folders
 
@@ -59,6 +59,21 @@ def test_a_grid_of_k_deals_no_row_for_each_k_and_candidate(spark):
     assert dealt and not [x for x in dealt if re.search(r"\bk#", x) and "ref_id" in x]
 
 
+@pytest.mark.parametrize("grid", [decision.decide_grid, decision.expected_grid, decision.open_set_grid])
+def test_a_grid_of_rules_deals_no_row_for_each_setting_and_reference(spark, grid):
+    dealt = exchanges(grid(linkage.scored_pairs(spark, SF), views.references(spark, SF), views.truth(spark, SF)))
+    assert dealt and not [x for x in dealt if re.search(r"\b(tau_|recall_hat|boost|veto)", x) and "ref_id" in x]
+
+
+def test_references_that_keep_nothing_count_at_every_setting(spark):
+    refs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "ref_id string")
+    truth = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("z", "x")], "ref_id string, cand_id string")
+    scores = spark.createDataFrame([("a", "x", 0.6), ("a", "x", 0.1), ("c", "y", 0.6), ("z", "x", 0.9), ("d", "y", None)], "ref_id string, cand_id string, prob double")
+    got = {(r["boost"], r["veto"]): r["macro_f05"] for r in decision.open_set_grid(scores, refs, truth, vetoes=(0.0, 0.7)).collect()}
+    assert got == {(b, v): 0.5 for b in (0.0, 0.1, 0.2) for v in (0.0, 0.7)}  # a and d, then c and d
+    assert decision.open_set_grid(scores, refs.limit(0), truth).count() == 0
+
+
 def test_texts_do_not_travel_for_the_truth(spark):
     plan = views.truth(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in exchanges(views.truth(spark, SF)) if "text" in x] and "digest" in plan
