@@ -19,8 +19,8 @@ from kinweave.operators.fusion import over_grid
 
 
 def best_scores(scores: DataFrame) -> DataFrame:
-    """One row per pair, with its largest score."""
-    return scores.groupBy("ref_id", "cand_id").agg(F.max("prob").alias("prob"))
+    """One row per pair, with its largest score; dealt by reference, once for what follows."""
+    return scores.select("ref_id", "cand_id", "prob").repartition("ref_id").groupBy("ref_id", "cand_id").agg(F.max("prob").alias("prob"))
 
 
 def best_labelled(scores: DataFrame, refs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def test_references_that_keep_nothing_count_at_every_setting(spark):
     assert decision.open_set_grid(scores, refs.limit(0), truth).count() == 0
 
 
+def test_scores_are_dealt_by_reference_for_a_decision(spark):
+    dealt = exchanges(decision.decide(linkage.scored_pairs(spark, SF), views.references(spark, SF).withColumn("is_open", F.lit(False))))
+    assert not [x for x in dealt if "cand_id" in x]
+
+
 def test_texts_do_not_travel_for_the_truth(spark):
     plan = views.truth(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in exchanges(views.truth(spark, SF)) if "text" in x] and "digest" in plan
