@@ -1,6 +1,8 @@
 """What larger tables showed: queries against their SQL on small tables made for one case each."""
 
+import os
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -8,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.operators import blocking, decision, fusion, packed
+from kinweave.operators import blocking, decision, fusion, metrics, models, packed
 from kinweave.plans import catalog, linkage, views
 from kinweave.sources import folders
 
@@ -170,3 +172,19 @@ def test_rows_of_kept_files_by_value(spark):
     files = folders.files_by(df, "bucket")
     got = {b: sorted(r.column("id")[0].as_py() for r in folders.rows_of(files[b], ["id"], ("bucket", b))) for b in files}
     assert got == {"a b": [1, 3, 5, 7], "ü": [0, 2, 4, 6, 8]}
+
+
+def shuffled(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in dirs for _, _, names in os.walk(d) for f in names if re.fullmatch(r"shuffle_.*\.data", f)}
+
+
+@pytest.mark.parametrize("write", ["stored", "kept", "written"])
+def test_shuffle_files_go_when_a_shared_table_is_written(spark, tmp_path, write):
+    before, rows = shuffled(spark), spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    out = folders.stored(spark, "test-of-shuffles", [str(tmp_path)], lambda: rows) if write == "stored" else getattr(folders, write)(rows, "some")
+    for _ in range(100):  # executors are told, and not waited for
+        if left := shuffled(spark) - before:
+            time.sleep(0.1)
+    assert not left and sum(r["n"] for r in out.collect()) == 499500
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
