@@ -188,3 +188,13 @@ def test_shuffle_files_go_when_a_shared_table_is_written(spark, tmp_path, write)
             time.sleep(0.1)
     assert not left and sum(r["n"] for r in out.collect()) == 499500
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_fused_lists_marked_with_the_truth(spark):
+    lists = spark.createDataFrame([("r", "x", "a", 1), ("r", "y", "a", 2), ("r", "x", "b", 2), ("r", "x", "b", 5), ("q", "y", "a", 1)], "ref_id string, channel string, cand_id string, rank int")
+    truth = spark.createDataFrame([("r", "b"), ("r", "b"), ("r", "z"), ("s", "a")], "ref_id string, cand_id string")
+    want = {tuple(r) for r in fusion.rrf(lists, 10).collect()}
+    got = fusion.rrf(lists, 10, truth=truth)
+    assert {(r["ref_id"], r["cand_id"], r["score"], r["rank"]) for r in got.collect()} == want
+    assert [(r["ref_id"], r["cand_id"]) for r in got.where("hit = 1").collect()] == [("r", "b")]
+    assert metrics.first_hit_rank(got, truth).collect() == metrics.first_hit_rank(fusion.rrf(lists, 10), truth).collect()
