@@ -190,6 +190,12 @@ def test_shuffle_files_go_when_a_shared_table_is_written(spark, tmp_path, write)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
 
 
+@pytest.mark.parametrize("name", ["first_hit_rank", "channel_stats", "pair_sampling"])
+def test_lists_are_not_dealt_again_to_meet_the_truth(spark, name):
+    dealt = exchanges(catalog.QUERIES[name](spark, SF))
+    assert dealt and not [x for x in dealt if "cand_id" in x]
+
+
 def test_fused_lists_marked_with_the_truth(spark):
     lists = spark.createDataFrame([("r", "x", "a", 1), ("r", "y", "a", 2), ("r", "x", "b", 2), ("r", "x", "b", 5), ("q", "y", "a", 1)], "ref_id string, channel string, cand_id string, rank int")
     truth = spark.createDataFrame([("r", "b"), ("r", "b"), ("r", "z"), ("s", "a")], "ref_id string, cand_id string")
