@@ -209,3 +209,10 @@ def test_fused_lists_marked_with_the_truth(spark):
 def test_hits_alone_meet_the_scripts(spark):
     plan = catalog.QUERIES["recall_by_script"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Filter[^\n]*hit#\d+ = 1", plan)
+
+
+def test_lists_fused_in_turn_are_dealt_once(spark):
+    assert len(exchanges(catalog.QUERIES["rrf_extra"](spark, SF))) == 1
+    lists = linkage.stored_lists(spark, SF)
+    plain = fusion.rrf_extra(fusion.rrf(lists.where("channel != 'char'"), 10), lists.where("channel = 'char'"), 60, 20)
+    assert sorted(map(tuple, fusion.rrf_in_turn(lists, ["char"], 10, 60, 20).collect())) == sorted(map(tuple, plain.collect()))
