@@ -94,8 +94,15 @@ def fit_stack(df: DataFrame, columns: list[str] = NAMES, kinds=("gbt", "forest",
     return Stack(bases, meta, columns), scored.drop(*names)
 
 
-def fit_isotonic(df: DataFrame, prob: str = "prob") -> IsotonicRegressionModel:
-    return IsotonicRegression(featuresCol=prob, labelCol="label").fit(df.select(F.col(prob).cast("double").alias(prob), F.col("label").cast("double").alias("label")))
+def by_score(df: DataFrame, prob: str = "prob") -> DataFrame:
+    """A row for each distinct score: its mean label, and as weight how many rows have it."""
+    return df.groupBy(F.col(prob).cast("double").alias(prob)).agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+
+
+def fit_isotonic(df: DataFrame, prob: str = "prob", counted: bool = False) -> IsotonicRegressionModel:
+    """The fit of df or, counted, of its by_score, which is the same: rows of one score share their fitted value. Only distinct scores are sorted."""
+    rows = df if counted else by_score(df, prob)
+    return IsotonicRegression(featuresCol=prob, labelCol="label", weightCol="weight").fit(rows.select(prob, "label", "weight"))
 
 
 def knots(model: IsotonicRegressionModel) -> list[tuple[float, float]]:

@@ -224,3 +224,13 @@ def test_raw_and_calibrated_scores_meet_the_truth_once(spark, monkeypatch):
     assert catalog.QUERIES["calibration_gain"](spark, SF).count() == 2 and len(asked) == 1
     rows = spark.createDataFrame([("a", 0.2, 0), ("a", 0.9, 1), ("b", 0.5, 1)], "option string, prob double, label int")
     assert {r["option"]: r["ece"] for r in ece(rows, by=["option"]).collect()} == {o: ece(rows.where(F.col("option") == o)).first()["ece"] for o in "ab"}
+
+
+def test_isotonic_fit_sorts_distinct_scores_only(spark, monkeypatch):
+    rows = spark.createDataFrame([(p / 10, int(p * n % 7 > 2)) for p in range(10) for n in range(1 + p % 4)], "prob double, label int")
+    dense = models.IsotonicRegression(featuresCol="prob", labelCol="label").fit(rows)
+    assert np.allclose(models.knots(models.fit_isotonic(rows)), models.knots(dense))
+    seen, fit = [], models.fit_isotonic
+    monkeypatch.setattr(models, "fit_isotonic", lambda df, **how: seen.append(df) or fit(df, **how))
+    out = catalog.QUERIES["isotonic_fit"](spark, SF)
+    assert seen[0].count() == seen[0].select("prob").distinct().count() == out.count()
