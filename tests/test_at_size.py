@@ -234,3 +234,11 @@ def test_isotonic_fit_sorts_distinct_scores_only(spark, monkeypatch):
     monkeypatch.setattr(models, "fit_isotonic", lambda df, **how: seen.append(df) or fit(df, **how))
     out = catalog.QUERIES["isotonic_fit"](spark, SF)
     assert seen[0].count() == seen[0].select("prob").distinct().count() == out.count()
+
+
+def test_signals_of_pairs_in_one_pass(spark):
+    lists = linkage.stored_lists(spark, SF)
+    got = {(r["ref_id"], r["cand_id"]): (r["rrf_score"], r["channel_agreement"]) for r in fusion.signals(lists, 10, 3).collect()}
+    found = fusion.rrf(lists, 10).join(fusion.agreement(lists, 3), ["ref_id", "cand_id"])
+    assert got and got == {(r["ref_id"], r["cand_id"]): (r["score"], r["agreement"]) for r in found.collect()}
+    assert len(exchanges(fusion.signals(lists, 10, 3))) == 1
