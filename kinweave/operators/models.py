@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -17,6 +20,10 @@ from kinweave.operators import pairs as pairing
 from kinweave.operators.features import NAMES
 
 
+#: Rows of a partition that models are fitted on, where there are more of them than cores.
+ROWS = 200_000
+
+
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls and NaN become 0, infinities 1 and 0."""
     inf = float("inf")
@@ -33,9 +40,16 @@ def learner(kind: str, seed: int = DEFAULTS.seed, rounds: int = 20):
     raise ValueError(f"unknown learner {kind}")
 
 
+def assembler(columns: list[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=columns, outputCol="raw")
+
+
+def steps(kind: str, rounds: int) -> list:
+    return [StandardScaler(inputCol="raw", outputCol="x", withMean=True), learner(kind, rounds=rounds)]
+
+
 def fit(df: DataFrame, columns: list[str] = NAMES, kind: str = "gbt", rounds: int = 20) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), learner(kind, rounds=rounds)]
-    return Pipeline(stages=stages).fit(finite(df, columns))
+    return Pipeline(stages=[assembler(columns), *steps(kind, rounds)]).fit(finite(df, columns))
 
 
 def score(model: PipelineModel, df: DataFrame, columns: list[str] = NAMES, out: str = "prob") -> DataFrame:
@@ -45,17 +59,27 @@ def score(model: PipelineModel, df: DataFrame, columns: list[str] = NAMES, out:
 
 
 def out_of_fold(df: DataFrame, columns: list[str] = NAMES, kind: str = "gbt", n: int = DEFAULTS.folds, rounds: int = 20, out: str = "oof_prob") -> tuple[DataFrame, list[PipelineModel]]:
-    """Each row scored by the model of the other folds; all pairs of a reference are in one fold."""
-    folded = pairing.folds(df, n)
-    models, parts = [], []
-    for k in range(n):
-        model = fit(folded.where(F.col("fold") != k), columns, kind, rounds)
-        models.append(model)
-        parts.append(score(model, folded.where(F.col("fold") == k), columns, out))
+    """Each row scored by the model of the other folds; all pairs of a reference are in one fold.
+
+    A row's features become a vector once, which stays held for the folds and the scores. A fit runs a hundred small jobs,
+    so the folds' fits run side by side, over no more partitions than cores or ROWS ask for.
+    """
+    others = [c for c in df.columns if c not in columns and c != out]
+    vectors = assembler(columns)
+    held = vectors.transform(finite(pairing.folds(df, n), columns)).select(*others, "fold", "raw").persist()
+    rows = held.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // ROWS))).select("label", "fold", "raw")
+    with ThreadPool(n) as pool:
+        fits = [inheritable_thread_target(df.sparkSession)(partial(Pipeline(stages=steps(kind, rounds)).fit, rows.where(F.col("fold") != k).drop("fold"))) for k in range(n)]
+        fitted = pool.map(lambda f: f(), fits, 1)
+    values, parts = vector_to_array("raw"), []
+    names = [c for c in df.columns if c != out]
+    for k, model in enumerate(fitted):
+        scored = model.transform(held.where(F.col("fold") == k)).withColumn("__p", vector_to_array("probability")[1])
+        parts.append(scored.select(*[values[columns.index(c)].alias(c) if c in columns else F.col(c) for c in names], F.col("__p").alias(out)))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
-    return scored.drop("fold"), models
+    return scored, [PipelineModel([vectors, *model.stages]) for model in fitted]
 
 
 def importances(models: list[PipelineModel], columns: list[str] = NAMES, n: int | None = None) -> list[tuple[str, float]]:

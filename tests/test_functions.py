@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,27 @@ def test_similarities():
         assert similarity.partial_ratio(a, b) == similarity.partial_ratio(b, a)
 
 
+def test_partial_ratios():
+    """Those of many pairs at once are those of each, whatever the lengths and letters."""
+    r = random.Random(2)
+    word = lambda letters, most: "".join(r.choice(letters) for _ in range(r.randint(0, most)))
+    pairs = [(word(letters, most), word(letters, most)) for letters in ("ab", "abcdefgh ij", "é漢字b𝔘") for most in (2, 9, 40) for _ in range(60)]
+    pairs += [("abca"[:k], "cabb"[:k]) for k in range(5)] + [("x" * 700, "ab" * 300 + "x"), ("b", "a" * 900 + "b")]
+    assert similarity.partial_ratios(pairs) == [similarity.partial_ratio(a, b) for a, b in pairs]
+    assert similarity.partial_ratios([]) == []
+
+
+def test_windows_share_their_comparison():
+    """300 pairs together take less than 60 by themselves."""
+    r = random.Random(3)
+    pairs = [tuple("".join(r.choice("abcdefgh ") for _ in range(200)) for _ in "ab") for _ in range(300)]
+    t = [time.process_time()]
+    for step in (lambda: [similarity.partial_ratio(*p) for p in pairs[:10]], lambda: similarity.partial_ratios(pairs)):
+        step()
+        t.append(time.process_time())
+    assert t[2] - t[1] < 6 * (t[1] - t[0])
+
+
 @pytest.mark.parametrize(("word", "code"), [("Thompson", "TMSN"), ("knight", "NFT"), ("acme", "AKM"), ("smith", "SM0"), ("school", "SKL"), ("phone", "FN"), ("xavier", "SFR"), ("whale", "WL"), ("corporation", "KRPRXN"), ("judge", "JJ"), ("thumb", "0M"), ("", "")])
 def test_metaphone(word, code):
     got = similarity.metaphone(word)

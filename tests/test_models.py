@@ -2,10 +2,13 @@
 
 import math
 import unicodedata
+from statistics import median
+
+from pyspark.sql import functions as F
 
 from kinweave.functions import lists
 from kinweave.functions import similarity as sim
-from kinweave.operators import blocking, dense
+from kinweave.operators import blocking, dense, models, pairs
 from kinweave.plans import views
 from kinweave.plans.catalog import QUERIES
 
@@ -173,3 +176,22 @@ def test_model_scores(spark):
     assert all(0 <= r["oof_prob"] <= 1 for r in rows)
     good, bad = ([r["oof_prob"] for r in rows if r["label"] == y] for y in (1, 0))
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
+def test_folds_side_by_side(spark):
+    """Folds are fitted over no more tasks than cores, on rows that are assembled once, and give what each model gives by itself."""
+    f = F.col("id")
+    df = spark.range(400).repartition(40).select(F.concat(F.lit("S1-"), f % 90).alias("ref_id"), F.concat(F.lit("S2-"), f).alias("cand_id"), (f % 3 == 0).cast("int").alias("label"), F.when(f % 7 > 0, f % 3 + f % 5 / 9).alias("f1"), (f % 11).cast("float").alias("f2"))
+    sc = spark.sparkContext
+    sc.setJobGroup("side by side", "")
+    scored, fitted = models.out_of_fold(df, ["f1", "f2"], n=2, rounds=3)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    info = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("side by side") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert median(i.numTasks for i in info if i) <= sc.defaultParallelism
+    assert scored.columns == [*df.columns, "oof_prob"]
+    got = {r["cand_id"]: r for r in scored.collect()}
+    own = [r for k in range(2) for r in models.score(fitted[k], pairs.folds(df, 2).where(F.col("fold") == k), ["f1", "f2"]).collect()]
+    assert len(got) == len(own) == 400
+    for r in own:
+        x = got[r["cand_id"]]
+        assert abs(x["oof_prob"] - r["prob"]) < 1e-12 and [x[c] for c in df.columns] == [r[c] for c in df.columns]
